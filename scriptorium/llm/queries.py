@@ -1,0 +1,42 @@
+"""The pN_ queries of this subpackage: each takes (spark, directory) and reads whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm.spans import shared_spans
+from scriptorium.llm.tokenizer import encode_corpus
+
+
+def sections(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rfc_sections.parquet")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def p5_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row's shared spans, their characters and their share of the text."""
+    table = sections(spark, folder)
+    spans = shared_spans(table)
+    sizes = table.select("id", F.length("text").alias("n_chars"))
+    return spans.join(sizes, "id").withColumn("shared_share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(sections(spark, folder)).select("id", "shared_chars")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus(documents(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_spans": p5_spans,
+    "p6_ids": p6_ids,
+}
