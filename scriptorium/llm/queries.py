@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.neighbours import nearest
+from scriptorium.llm.packing import fill_containers
 from scriptorium.llm.spans import shared_spans
-from scriptorium.llm.tokenizer import encode_corpus
+from scriptorium.llm.splitting import oversized_units, split_oversized
+from scriptorium.llm.tokenizer import encode_corpus, token_counts
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +22,26 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered pieces of at most 2,000 characters of every longer section."""
+    return split_oversized(sections(spark, folder))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return oversized_units(sections(spark, folder))
+
+
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar rows of every usable row; wide routing, for recall over distant neighbours too."""
+    return nearest(sections(spark, folder), margin=0.45, probes=24, ef=64)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Only neighbours of cosine 0.90 and more are wanted, so the operator routes narrowly."""
+    near = nearest(sections(spark, folder), min_cosine=0.9)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p5_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Each row's shared spans, their characters and their share of the text."""
     table = sections(spark, folder)
@@ -35,8 +58,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(documents(spark, folder))
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers of 2,048 ids; first is the id of the document at which the part begins."""
+    return fill_containers(token_counts(documents(spark, folder)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p5_found": p5_found,
     "p5_spans": p5_spans,
     "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
 }
