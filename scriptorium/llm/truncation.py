@@ -33,7 +33,7 @@ BREAK = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
 CLOSED = re.compile(r"[.!?…。！？♪♫*\])}>\"'”’»—–-]\s*$")
 # The shapes of a timing line, d for a digit.
 SHAPES = [f"{a} --> {b}" for a in ("dd:dd:dd,ddd", "dd:dd,ddd", "d:dd:dd,ddd", "d:dd,ddd") for b in ("dd:dd:dd,ddd", "dd:dd,ddd", "d:dd:dd,ddd", "d:dd,ddd")]
-TAIL = "doc string, source string, declared long, chars long, bytes long, mark boolean, padded boolean, structure string, word string, closes double, closed boolean, ends_in string"
+TAIL = "doc string, source string, declared long, chars long, bytes long, mark boolean, padded boolean, structure string, word string, before string, closes double, closed boolean, ends_in string, closing string"
 
 
 def cue_texts(text: str) -> list[list[str]]:
@@ -75,7 +75,7 @@ def tail_of(text: str) -> tuple:
     body = bare[: mark.start()] if mark else bare
     blocks = cue_texts(body)
     if not blocks:
-        return bool(mark), padded, "", None, 0.0, True, "blank"
+        return bool(mark), padded, "", None, None, 0.0, True, "blank", None
     structure = breaks_off(blocks)
     cues = [" ".join(spoken(b)) for b in blocks[:-1]]
     cues = [c for c in cues if c]
@@ -83,7 +83,18 @@ def tail_of(text: str) -> tuple:
     end = " ".join(spoken(blocks[-1]))
     word = FINAL_WORD.search(end)
     ends = "word" if word else "comma" if end.endswith((",", "，", "、")) else "other"
-    return bool(mark), padded, structure, word.group().lower() if word and not structure else None, closes, bool(CLOSED.search(end)), ends
+    before = WORD.findall(end[: word.start()]) if word else []
+    return (
+        bool(mark),
+        padded,
+        structure,
+        word.group().lower() if word and not structure else None,
+        before[-1][0].lower() if before else None,
+        closes,
+        bool(CLOSED.search(end)),
+        ends,
+        end.lower() if len(end) <= 40 else None,
+    )
 
 
 def tails(df: DataFrame, key: str, text: str, source: str, declared: str) -> DataFrame:
@@ -91,8 +102,8 @@ def tails(df: DataFrame, key: str, text: str, source: str, declared: str) -> Dat
         for batch in batches:
             texts = strings(batch.column(3))
             rows = [tail_of(t) for t in texts]
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string()]
+            columns = list(zip(*rows)) if rows else [()] * 9
+            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(3)), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 [c.split()[0] for c in TAIL.split(", ")],
@@ -103,7 +114,8 @@ def tails(df: DataFrame, key: str, text: str, source: str, declared: str) -> Dat
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """(word, n, bare, final): occurrences, those no mark follows, and of these the ones that end a cue.
+    """(word, n, bare, final, penult): occurrences, those no mark follows, of these the ones that end a cue, and those
+    that stand just before a word which ends a cue without a mark.
 
     The last cue of each text teaches nothing, since it may be cut.
     """
@@ -111,6 +123,7 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: Counter = Counter()
         final: Counter = Counter()
+        penult: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             total: Counter = Counter()
@@ -123,9 +136,13 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
             ends: Counter = Counter()
             for word, n in final.items():
                 ends[word.lower()] += n
+            befores: Counter = Counter()
+            for word, n in penult.items():
+                befores[word.lower()] += n
             every.clear()
             final.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (total, bare, ends))], ["word", "n", "bare", "final"])
+            penult.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (total, bare, ends, befores))], ["word", "n", "bare", "final", "penult"])
 
         for batch in batches:
             for value in strings(batch.column(0)):
@@ -134,12 +151,14 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
                     every.update(found)
                     if found and not found[-1][1]:
                         final[found[-1][0]] += 1
+                        if len(found) > 1:
+                            penult[found[-2][0]] += 1
             if len(every) > 300_000:
                 yield flush()
         yield flush()
 
-    made = df.select(text).where(F.col(text).isNotNull()).mapInArrow(count, "word string, n long, bare long, final long")
-    return made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.sum("final").alias("final"))
+    made = df.select(text).where(F.col(text).isNotNull()).mapInArrow(count, "word string, n long, bare long, final long, penult long")
+    return made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.sum("final").alias("final"), F.sum("penult").alias("penult"))
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -150,15 +169,15 @@ def trie(words: DataFrame) -> DataFrame:
 
 def usual_limits(tails_: DataFrame, least: int = 4, times: float = 8.0, beside: int = 40) -> DataFrame:
     """(source, unit, size, marked): lengths at which far more files of a source end than at the ``beside`` lengths
-    on either side; marked if most of them carry a mark. One row for each source and length is aggregated first."""
-    sizes = tails_.where("not padded and source is not null").select("source", "mark", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x"))
-    counts = sizes.select("source", "mark", "x.unit", "x.size").groupBy("source", "unit", "size").agg(F.count("*").alias("n"), F.sum(F.col("mark").cast("long")).alias("marks"))
+    on either side; marked if most of them carry a mark. Most files at a limit must break off or carry a mark. One row for each source and length is aggregated first."""
+    sizes = tails_.where("not padded and source is not null").select("source", "mark", (F.col("mark") | ~F.col("closed") | (F.col("structure") != "")).alias("open"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x"))
+    counts = sizes.select("source", "mark", "open", "x.unit", "x.size").groupBy("source", "unit", "size").agg(F.count("*").alias("n"), F.sum(F.col("mark").cast("long")).alias("marks"), F.sum(F.col("open").cast("long")).alias("open"))
     from pyspark.sql import Window
 
     around = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-beside, beside)
     return (
         counts.withColumn("near", F.sum("n").over(around))
-        .where((F.col("n") >= least) & (F.col("n") >= times * (F.col("near") - F.col("n") + 1) / (2 * beside)) & (F.col("n") * 4 >= F.col("near") - F.col("n")))
+        .where((F.col("n") >= least) & (F.col("n") >= times * (F.col("near") - F.col("n") + 1) / (2 * beside)) & (F.col("n") * 4 >= F.col("near") - F.col("n")) & (F.col("open") * 2 > F.col("n")))
         .select("source", "unit", "size", (F.col("marks") * 2 > F.col("n")).alias("marked"))
     )
 
@@ -170,6 +189,8 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     wanted = ends.where("word is not null").select(F.col("word").alias("node")).distinct()
     nodes = trie(words).join(wanted, "node", "left_semi").withColumnRenamed("node", "word")
     known = words.join(wanted.withColumnRenamed("node", "word"), "word", "left_semi")
+    openers = words.where("n >= 3 and penult >= 0.15 * n").select(F.col("word").alias("before"), F.lit(True).alias("credit"))  # words that close with a name
+    closings = ends.where("closing is not null").groupBy("closing").count().where("count >= 3").select("closing", F.lit(True).alias("usual"))
     limits = usual_limits(ends)
     at = limits.groupBy("source", F.when(F.col("unit") == "chars", F.col("size")).alias("at_chars"), F.when(F.col("unit") == "bytes", F.col("size")).alias("at_bytes")).agg(F.max("marked").alias("marked"))
     by_chars = at.where("at_chars is not null").select("source", F.col("at_chars").alias("chars"), F.col("marked").alias("chars_marked"))
@@ -177,18 +198,22 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     all_ = (
         ends.join(nodes, "word", "left")
         .join(known, "word", "left")
+        .join(openers, "before", "left")
+        .join(closings, "closing", "left")
         .join(by_chars, ["source", "chars"], "left")
         .join(by_bytes, ["source", "bytes"], "left")
         .withColumn("through", F.coalesce("through", F.lit(0)))
         .withColumn("n", F.coalesce("n", F.lit(0)))
     )
-    prefix = (F.col("through") >= 3) & ((F.col("n") == 0) | (F.col("n") * 50 <= F.col("through"))) & F.col("word").isNotNull()
+    whole = F.col("usual").isNotNull() | F.col("credit").isNotNull()  # closing titles and credits
+    spaced = ~F.col("word").rlike("[\\u3040-\\u30ff\\u3400-\\u9fff]")  # in scripts without spaces a token is a clause
+    prefix = ~whole & (spaced | ~F.col("mark")) & (F.col("through") >= 3) & ((F.col("n") == 0) | (F.col("n") * 50 <= F.col("through"))) & F.col("word").isNotNull()
     at_chars = F.col("chars_marked").isNotNull() & (~F.col("chars_marked") | F.col("mark"))
     at_bytes = F.col("bytes_marked").isNotNull() & (~F.col("bytes_marked") | F.col("mark")) & ((F.col("bytes") == F.col("at_bytes")) | ((F.col("bytes") > F.col("chars")) & ~F.col("closed")))
     limit = ~F.col("padded") & (at_chars | at_bytes)
     beyond = (F.col("declared") - F.col("chars") > 2) & (F.col("declared") > F.col("bytes") + 2)
     beyond = beyond | ((F.col("declared") - F.col("chars") > 2) & (F.col("declared") != F.col("bytes")) & (F.col("declared") > F.col("chars") * 1.02) & ~F.col("closed"))
-    unfinished = (F.col("closes") >= 0.6) & ~F.col("mark") & ~F.col("closed") & (((F.col("ends_in") == "word") & (F.coalesce("bare", F.lit(0)) >= 5) & (F.col("final") <= 0.35 * F.col("bare"))) | (F.col("ends_in") == "comma"))
+    unfinished = ~whole & (F.col("closes") >= 0.6) & ~F.col("mark") & ~F.col("closed") & (((F.col("ends_in") == "word") & (F.coalesce("bare", F.lit(0)) >= 5) & (F.col("final") <= 0.35 * F.col("bare"))) | (F.col("ends_in") == "comma"))
     rules = [
         F.when(F.col("structure") != "", F.concat(F.lit("breaks off in "), "structure")),
         F.when(prefix, F.lit("final token is a prefix of words")),
