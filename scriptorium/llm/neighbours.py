@@ -171,7 +171,7 @@ def nearest(
         return pa.table({"key": names.take(pa.array(query[good])), "neighbour": names.take(pa.array(other[good])), "cosine": pa.array(np.clip(cosine[good], -1, 1))})
 
     shards = int(pieces.sum())
-    found = reps.select("key", "vector", "h1").mapInArrow(route, "shard int, key string, vector binary, home boolean").repartition(min(max(parts, shards), 20_000), "shard").groupBy("shard").applyInArrow(search, "key string, neighbour string, cosine double")
+    found = reps.select("key", "vector", "h1").mapInArrow(route, "shard int, key string, vector binary, home boolean").repartition(min(max(parts, 3 * shards), 20_000), "shard").groupBy("shard").applyInArrow(search, "key string, neighbour string, cosine double")
     found = found.withColumnRenamed("key", "rep").unionByName(reps.where("copied").select(F.col("key").alias("rep"), F.col("key").alias("neighbour"), F.lit(1.0).alias("cosine")))
     # copies: of each group its first k + 1 keys can be anyone's neighbour; every member gets the group's result
     groups = coded.join(reps.where("copied").select("h1", "h2", F.col("key").alias("rep")), ["h1", "h2"]).select("rep", F.col("key").alias("member")).distinct()

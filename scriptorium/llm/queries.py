@@ -35,12 +35,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 most similar rows of every usable row; wide routing, for recall over distant neighbours too."""
-    return nearest(sections(spark, folder), margin=0.45, probes=24, ef=64)
+    return nearest(sections(spark, folder), margin=0.25, probes=24, ef=64)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Only neighbours of cosine 0.90 and more are wanted, so the operator routes narrowly."""
-    near = nearest(sections(spark, folder), min_cosine=0.9)
+    near = nearest(sections(spark, folder), min_cosine=0.9, margin=0.1)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
