@@ -132,7 +132,7 @@ class Engine:
         sections = found.join(by_section, "query_id", "left_semi").select("query_id", "rank", name.alias("item"))
         documents = M.document_ranking(found.join(by_section, "query_id", "left_anti")).select("query_id", "rank", F.col("item").cast("string").alias("item"))
         expected = M.expected_sections(questions.where("size(sections) > 0")).select("query_id", name.alias("item")).unionByName(
-            questions.join(by_section, "query_id", "left_anti").select("query_id", F.explode("documents").cast("string").alias("item"))
+            questions.join(by_section, "query_id", "left_anti").select("query_id", F.explode(F.col("documents").cast("array<string>")).alias("item"))
         )
         metrics = M.retrieval_metrics(sections.unionByName(documents), expected, questions, limit)
         return {"questions": metrics, "summary": M.retrieval_summary(metrics)}

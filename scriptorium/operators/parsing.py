@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import keywords, plain_lines
 from scriptorium.schema import GRAMMAR_STYLES
 
+# Patterns of headings, grammar rules and page lines.
 HEADING = r"^([0-9]+(?:\.[0-9]+)*|Appendix\s+[A-Z](?:\.[0-9]+)*)\.\s+(.+?)$"
 RULE = r"^\s*([a-zA-Z][a-zA-Z0-9-]*)\s*=\s*/?\s*"
 PAGE_HEADER = r"(?m)^[^\S\r\n]*RFC[^\S\r\n]+[0-9]+[^\S\r\n]+.*$"
@@ -55,11 +56,25 @@ def title_of(text: str, number: int | None) -> str:
     return title_above(text, "Abstract", False) or title_above(text, STATUS_LINE, True) or f"RFC {number or 0}"
 
 
+NAMED_LINE = re.compile(r"\s*([A-Za-z][A-Za-z /]*):\s*(.*)")
+
+
 def header_fields(text: str) -> dict[str, str]:
-    """``Name: value`` fields before the first blank line pair; a value runs on until the next name."""
+    """The first value of each ``Name: value`` line; a value runs on until the next name or a blank line."""
     found: dict[str, str] = {}
-    for match in re.finditer(r"([A-Za-z\s/]+):\s*(.*?)(?=\n[A-Za-z\s/]+:\s|\n{2,}|\Z)", text, re.S):
-        found.setdefault(match[1].strip(), match[2].strip())
+    name = None
+    for line in text.split("\n"):
+        named = NAMED_LINE.match(line)
+        if named:
+            name = named[1].strip()
+            if name in found:
+                name = None
+            else:
+                found[name] = named[2].strip()
+        elif not line.strip():
+            name = None
+        elif name is not None:
+            found[name] += "\n" + line.strip()
     return found
 
 
@@ -75,14 +90,14 @@ def numbers_of(value: str | None) -> list[int]:
 
 def authors_of(text: str) -> list[str]:
     """P06."""
-    found = re.search(r"Authors?:\s*(.+?)(?:\n\s|\Z)", text, re.S)
-    return [a.strip() for a in found[1].split(",") if a.strip()] if found else []
+    fields = header_fields(text)
+    value = fields.get("Authors", fields.get("Author", ""))
+    return [a.strip() for a in value.split("\n")[0].split(",") if a.strip()]
 
 
 def category_of(text: str) -> str | None:
     """P04."""
-    found = re.search(r"Category:\s*(.+?)(?:\n|$)", text)
-    return found[1].strip() if found else None
+    return header_fields(text).get("Category", "").split("\n")[0].strip() or None
 
 
 def without_front_matter(text: str) -> str:

@@ -72,8 +72,8 @@ def mirror(tmp_path_factory):
     return str(root)
 
 
-def vectors(texts):
-    return [[float(len(t)), 1.0, 2.0, 3.0] for t in texts]
+def vectors():
+    return lambda texts: [[float(len(t)), 1.0, 2.0, 3.0] for t in texts]
 
 
 def test_discovery(spark, mirror):
@@ -117,7 +117,7 @@ def test_index_search_and_incremental(spark, mirror, tmp_path):
     errata = tmp_path / "errata.json"
     errata.write_text(json.dumps([{"errata_id": "5", "doc-id": "RFC0007", "errata_status_code": "Verified", "section": "1", "orig_text": "wait", "correct_text": "go", "submit_date": "2020-01-02"}, {"errata_id": ""}, 3]))
     options = Options(store_path=str(tmp_path / "store"), mirror_path=mirror, parser="xml", embedding_dimensions=4, errata_path=str(errata))
-    engine = Engine(spark, options, provider=vectors)
+    engine = Engine(spark, options, provider=vectors())
     first = engine.index()
     assert first["indexed"] == 3 and first["documents"] == 3
     names = [r["section"] for r in engine.contents(7).orderBy("position").collect()]
@@ -147,15 +147,18 @@ def test_engine_over_tables(spark, data):
     import numpy as np
 
     engine = Engine.over_folder(spark, data, provider=lambda texts: [list(np.ones(64)) for _ in texts])
-    found = engine.search("quorum threshold in RFC 10003 section 1", 5).orderBy("rank").collect()
-    assert 0 < len(found) <= 5 and found[0]["rfc_number"] == 10003 and found[0]["score"] == 1.0
-    asked = engine.ask("what does RFC 10003 section 1 say", lambda system, prompt: json.dumps({"answer": "It says so [10003#1].", "citations": [{"evidenceId": "10003#1", "relevantText": prompt.split('"\n', 1)[1][:40]}]}))
+    known = engine.tables["rfc_sections"].where("section rlike '^[0-9]+$' and length(text) > 60 and rfc_number > 999").orderBy("rfc_number", "section").first()
+    number, name = known["rfc_number"], known["section"]
+    found = engine.search(f"quorum threshold in RFC {number} section {name}", 5).orderBy("rank").collect()
+    assert 0 < len(found) <= 5 and found[0]["rfc_number"] == number and found[0]["score"] == 1.0
+    reply = json.dumps({"answer": f"It says so [{number}#{name}].", "citations": [{"evidenceId": f"{number}#{name}", "relevantText": known["text"][:40]}]})
+    asked = engine.ask(f"what does RFC {number} section {name} say", lambda system, prompt: reply)
     assert asked["pack"].count() > 0 and asked["answers"].count() == 1
     silent = engine.ask("what is it", lambda system, prompt: "not json")
     assert silent["answers"].first()["no_answer"]
-    sets = engine.questions("RFC 10003 section 1").selectExpr("query_id", "query", "vector", "array(10003) as documents", "array('1') as sections")
+    sets = engine.questions(f"RFC {number} section {name}").selectExpr("query_id", "query", "vector", f"array({number}) as documents", f"array('{name}') as sections")
     assert engine.evaluate(sets)["summary"].first()["hit_rate"] == 1.0
-    assert engine.document(10003)["contents"].count() > 0
+    assert engine.document(number)["contents"].count() > 0
     assert guarded(engine.search, " ")["is_error"]
 
 
