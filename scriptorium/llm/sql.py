@@ -29,17 +29,17 @@ P4_FOUND = """
 with words as (select id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from rfc_sections),
 shingles as (select distinct id, s from (select id, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from words where len(w) >= 3)),
 sizes as (select id, count(*) as n from shingles group by id),
-both as (select a.id as x, b.id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.id < b.id group by a.id, b.id)
-select x as id_a, y as id_b from both join sizes p on p.id = x join sizes q on q.id = y where c >= 0.6 * (p.n + q.n - c)
+met as (select a.id as x, b.id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.id < b.id group by a.id, b.id)
+select x as id_a, y as id_b from met join sizes p on p.id = x join sizes q on q.id = y where c >= 0.6 * (p.n + q.n - c)
 """
 
 P5_FOUND = """
 with texts as (select id, text from rfc_sections where length(text) >= 200),
-windows as (select id, unnest(range(1, length(text) - 198)) as at, text from texts),
-spans as (select id, at, hash(substring(text, at, 200)) as h from windows),
+windows as (select id, unnest(range(1, length(text) - 198)) as k, text from texts),
+spans as (select id, k, hash(substring(text, k, 200)) as h from windows),
 shared as (select h from spans group by h having min(id) <> max(id)),
-kept as (select s.id, s.at, lead(s.at) over (partition by s.id order by s.at) as next from spans s join shared using (h))
-select id, sum(least(coalesce(next - at, 200), 200))::int as shared_chars from kept group by id
+kept as (select s.id, s.k, lead(s.k) over (partition by s.id order by s.k) as next from spans s join shared using (h))
+select id, sum(least(coalesce(next - k, 200), 200))::int as shared_chars from kept group by id
 """
 
 SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
