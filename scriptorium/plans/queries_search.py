@@ -42,11 +42,11 @@ def q01_postings(spark: SparkSession, folder: str) -> DataFrame:
     df as (select lexeme, count(*) df from post group by lexeme),
     s as (select query_id, id, round(sum(ln(1 + (total - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * size / mean))), 6) score
       from (select query_id, unnest(list_distinct({lexemes('query')})) lexeme from q) w join post using (lexeme) join df using (lexeme) join sizes using (id) cross join whole group by query_id, id)
-    select query_id, id, round(score, 4) as score from (select *, {RANKED.format('score')} as rank from s) where rank <= 10""",
+    select query_id, id, round(score, 3) as score from (select *, {RANKED.format('score')} as rank from s) where rank <= 10""",
 )
 def q01_bm25(spark: SparkSession, folder: str) -> DataFrame:
     scored = Q.bm25_matches(I.questions(spark, folder), index(spark, folder))
-    return Q.top(scored, 10, F.col("score").desc(), F.col("id")).select("query_id", "id", F.round("score", 4).alias("score"))
+    return Q.top(scored, 10, F.col("score").desc(), F.col("id")).select("query_id", "id", F.round("score", 3).alias("score"))
 
 
 @register("q02_vector", f"with {QUESTIONS}, {NEAR} select query_id, id, round(1 / (2 - similarity), 6) as score, rank from (select *, {RANKED.format('similarity')} as rank from sims) where rank <= 10")
@@ -104,8 +104,8 @@ def q11(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "q13_merge_referenced",
-    f"""with {QUESTIONS}, {LEXICAL}, refs as (select query_id, query_id as rfc_number, '1' as section, 0 as at from q),
-    named as (select r.query_id, s.id, s.rfc_number, s.section, 1e0 score, 0 priority, at as spot from refs r join rfc_sections s on s.rfc_number = r.rfc_number and s.section = r.section),
+    f"""with {QUESTIONS}, {LEXICAL}, refs as (select query_id, query_id as rfc_number, '1' as section, 0 as "at" from q),
+    named as (select r.query_id, s.id, s.rfc_number, s.section, 1e0 score, 0 priority, r."at" as spot from refs r join rfc_sections s on s.rfc_number = r.rfc_number and s.section = r.section),
     found as (select query_id, id, score, rank from (select *, {RANKED.format('score')} as rank from lex) where rank <= 10),
     rest as (select f.query_id, s.id, s.rfc_number, s.section, f.score, 1 as priority, rank as spot from found f join rfc_sections s using (id)),
     once as (select * from (select *, row_number() over (partition by query_id, rfc_number, section order by priority, spot, id) turn from (select * from named union all select * from rest)) where turn = 1)

@@ -49,10 +49,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this application's staged tables; call it when no result that reads them is still to be computed."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, partition_cols: tuple[str, ...] = ()) -> DataFrame:
     """Write a columnar intermediate to the shared folder and read it back (column pruning, no lineage)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_cols:
         writer = writer.partitionBy(*partition_cols)
