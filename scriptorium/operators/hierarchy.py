@@ -37,7 +37,7 @@ class Contraction:
     """Record of a contraction: ``steps`` of (rows removed with their links, links into spliced rows), and the core."""
 
     def __init__(self, links: DataFrame, most_rounds: int = 200) -> None:
-        self.steps: list[tuple[DataFrame, DataFrame]] = []
+        self.steps: list[tuple[DataFrame, DataFrame | None]] = []
         edges = links.select("src", "dst", F.lit(1).alias("w"))
         self.loops = [stage_table(edges.where("src = dst").select("src").distinct())]
         edges = stage_table(edges.where("src != dst"))
@@ -50,8 +50,10 @@ class Contraction:
             inner = edges.join(targets, "src", "left_semi")
             unary = inner.groupBy("src").agg(F.min("dst").alias("dst"), F.min("w").alias("w"), F.count("*").alias("n")).where("n = 1").drop("n")
             coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
-            beside = unary.select(F.col("src").alias("dst"), F.lit(True).alias("also"))
-            spliced = unary.join(beside, "dst", "left").where(F.col("also").isNull() | (coin("src") & ~coin("dst"))).select("src", "dst", "w")
+            # no two neighbours go in one round: the ends of unary chains all do, others by a coin unless before an end
+            marked = unary.join(unary.select(F.col("src").alias("dst"), F.lit(True).alias("also")), "dst", "left")
+            ends = marked.select(F.col("src").alias("dst"), F.col("also").isNull().alias("end"))
+            spliced = marked.join(ends, "dst", "left").where(F.col("also").isNull() | (~F.col("end") & coin("src") & ~coin("dst"))).select("src", "dst", "w")
             spliced = stage_table(spliced)
             raked = stage_table(raked.select("src", "dst", "w"))
             rest = inner.join(spliced.select("src"), "src", "left_anti")
@@ -61,7 +63,7 @@ class Contraction:
             merged = shortest(straight.unionByName(through.select(F.col("into").alias("src"), F.col("to").alias("dst"), "w")))
             merged = stage_table(merged)
             self.loops.append(merged.where("src = dst").select("src"))
-            self.steps.append((raked.unionByName(spliced), through.select("node", "into", "to")))
+            self.steps += [(raked, None), (spliced, through.select("node", "into", "to"))]
             edges = merged.where("src != dst")
             now = edges.count()
             if now == left and raked.isEmpty() and spliced.isEmpty():
@@ -82,7 +84,9 @@ class Contraction:
         """(node): nodes that reach themselves over one or more links."""
         label = stage_table(strong_components(self.core))
         loops = stage_table(reduce(DataFrame.unionByName, self.loops).distinct().select(F.col("src").alias("node")))
-        for removed, through in reversed(self.steps):
+        for _, through in reversed(self.steps):
+            if through is None:
+                continue
             # a spliced node lies on a cycle if a node that linked to it is in one component with its target
             named = through.join(label.select(F.col("node").alias("into"), F.col("label").alias("a")), "into", "left").join(label.select(F.col("node").alias("to"), F.col("label").alias("b")), "to", "left")
             inside = named.where("into = to or a = b").groupBy("node").agg(F.min(F.coalesce("b", "to")).alias("label"), F.min("to").alias("to"))
