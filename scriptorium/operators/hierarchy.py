@@ -55,43 +55,46 @@ class Contraction:
             ends = marked.select(F.col("src").alias("dst"), F.col("also").isNull().alias("end"))
             spliced = marked.join(ends, "dst", "left").where(F.col("also").isNull() | (~F.col("end") & coin("src") & ~coin("dst"))).select("src", "dst", "w")
             spliced = stage_table(spliced)
-            raked = stage_table(raked.select("src", "dst", "w"))
+            raked = raked.select("src", "dst", "w")
             rest = inner.join(spliced.select("src"), "src", "left_anti")
             over = spliced.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("more"))
-            through = stage_table(rest.join(over, "dst").select(F.col("src").alias("into"), F.col("dst").alias("node"), "to", (F.col("w") + F.col("more")).alias("w")))
+            through = rest.join(over, "dst").select(F.col("src").alias("into"), F.col("dst").alias("node"), "to", (F.col("w") + F.col("more")).alias("w"))
             straight = rest.join(over.select("dst"), "dst", "left_anti").select("src", "dst", "w")
-            merged = shortest(straight.unionByName(through.select(F.col("into").alias("src"), F.col("to").alias("dst"), "w")))
-            merged = stage_table(merged)
+            merged = stage_table(shortest(straight.unionByName(through.select(F.col("into").alias("src"), F.col("to").alias("dst"), "w"))))
             self.loops.append(merged.where("src = dst").select("src"))
             self.steps += [(raked, None), (spliced, through.select("node", "into", "to"))]
             edges = merged.where("src != dst")
-            now = edges.count()
-            if now == left and raked.isEmpty() and spliced.isEmpty():
+            now = edges.count()  # every node raked or spliced takes a link with it
+            if now == left:
                 break
             left = now
-        self.core = stage_table(edges)
+        self.core, self.core_links = edges, left
 
     def distances(self, roots: DataFrame) -> DataFrame:
         """(node, root, depth): least number of links from every node to every root it reaches over one or more."""
         zero = roots.select(F.col("node"), F.col("node").alias("root"), F.lit(0).alias("depth"))
-        known = stage_table(zero.unionByName(relax(self.core, zero)))
-        for removed, _ in reversed(self.steps):
+        known = stage_table(zero.unionByName(relax(self.core, zero)) if self.core_links else zero)
+        for turn, (removed, _) in enumerate(reversed(self.steps), 1):
             more = removed.join(known.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "root").agg(F.min(F.col("w") + F.col("depth")).alias("depth"))
-            known = stage_table(known.unionByName(more))
+            known = known.unionByName(more)
+            if turn % 4 == 0:  # keeps plans short without a table for each step
+                known = stage_table(known)
         return known.where("depth > 0")
 
     def cyclic(self) -> DataFrame:
         """(node): nodes that reach themselves over one or more links."""
-        label = stage_table(strong_components(self.core))
         loops = stage_table(reduce(DataFrame.unionByName, self.loops).distinct().select(F.col("src").alias("node")))
-        for _, through in reversed(self.steps):
-            if through is None:
-                continue
+        if not self.core_links and loops.isEmpty():
+            return loops
+        label = stage_table(strong_components(self.core))
+        for turn, through in enumerate((t for _, t in reversed(self.steps) if t is not None), 1):
             # a spliced node lies on a cycle if a node that linked to it is in one component with its target
             named = through.join(label.select(F.col("node").alias("into"), F.col("label").alias("a")), "into", "left").join(label.select(F.col("node").alias("to"), F.col("label").alias("b")), "to", "left")
             inside = named.where("into = to or a = b").groupBy("node").agg(F.min(F.coalesce("b", "to")).alias("label"), F.min("to").alias("to"))
             whole = inside.select("node", "label").unionByName(inside.select(F.col("to").alias("node"), "label"))
-            label = stage_table(label.unionByName(whole).groupBy("node").agg(F.min("label").alias("label")))
+            label = label.unionByName(whole).groupBy("node").agg(F.min("label").alias("label"))
+            if turn % 2 == 0:
+                label = stage_table(label)
         return label.select("node").unionByName(loops).distinct()
 
 
