@@ -50,7 +50,7 @@ def search(questions: DataFrame, tables: dict[str, DataFrame], limit: int = 10,
     if vector_only:
         found = Q.vector_search(planned, vectors, limit).select("query_id", "id", "score", "rank").join(sections.select("id", "rfc_number", "section"), "id")
     else:
-        fused = Q.wide_candidates(planned, Q.postings(kept.select("id", "text")), vectors, limit)
+        fused = Q.wide_candidates(planned, Q.postings(kept.select("id", "text"), questions=planned), vectors, limit)
         if reranker:
             found = R.rerank(fused, planned, sections, related, limit).select("query_id", "id", "rfc_number", "section", "score", "rank")
         else:

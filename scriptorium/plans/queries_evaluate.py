@@ -29,7 +29,7 @@ EXPECTED_SQL = f"""{QUESTIONS}, {LEXICAL}, {EDGES}, results as (select f.query_i
 def evaluated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ranking of documents, expected, questions)."""
     asked = I.questions(spark, folder).drop("vector")
-    found = Q.lexical_search(asked, index(spark, folder), 40).join(I.sections(spark, folder).select("id", "rfc_number"), "id")
+    found = Q.lexical_search(asked, index(spark, folder, asked), 40).join(I.sections(spark, folder).select("id", "rfc_number"), "id")
     links = I.documents(spark, folder).where("rfc_number % 20 = 0 and trim(title) != ''")
     none = F.expr("cast(array() as array<int>)")
     named = links.select(F.col("rfc_number").alias("query_id"), F.explode(F.array_distinct(F.concat(F.coalesce("updates", none), F.coalesce("obsoletes", none)))).alias("item")).where("item is not null and item != query_id")

@@ -22,13 +22,14 @@ QUERIES, SQL = register.queries, register.sql
 RANKED = "row_number() over (partition by query_id order by {} desc, id)"
 
 
-def index(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.postings(I.sections(spark, folder))
+def index(spark: SparkSession, folder: str, questions: DataFrame | None = None) -> DataFrame:
+    return Q.postings(I.sections(spark, folder), questions=questions)
 
 
 @register("q01_lexical", f"with {QUESTIONS}, {LEXICAL} select query_id, id, round(score, 6) as score, rank from (select *, {RANKED.format('score')} as rank from lex) where rank <= 10")
 def q01(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.lexical_search(I.questions(spark, folder), index(spark, folder)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    asked = I.questions(spark, folder)
+    return Q.lexical_search(asked, index(spark, folder, asked)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("q01_postings", f"with {POSTINGS} select lexeme, count(*) as rows, sum(tf)::bigint as tf from post group by lexeme")
@@ -56,12 +57,14 @@ def q02(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("q03_hybrid", f"with {QUESTIONS}, {LEXICAL}, {NEAR}, {FUSED} select query_id, id, lexical_rank, vector_rank, rrf, rank from (select *, {RANKED.format('rrf')} as rank from fused) where rank <= 10")
 def q03(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.hybrid_search(I.questions(spark, folder), index(spark, folder), I.vectors(spark, folder)).select("query_id", "id", "lexical_rank", "vector_rank", "rrf", "rank")
+    asked = I.questions(spark, folder)
+    return Q.hybrid_search(asked, index(spark, folder, asked), I.vectors(spark, folder)).select("query_id", "id", "lexical_rank", "vector_rank", "rrf", "rank")
 
 
 @register("q04_wide_candidates", f"with {QUESTIONS}, {LEXICAL}, {NEAR}, {FUSED} select query_id, id, lexical_rank, vector_rank, rrf from fused")
 def q04(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.wide_candidates(I.questions(spark, folder), index(spark, folder), I.vectors(spark, folder))
+    asked = I.questions(spark, folder)
+    return Q.wide_candidates(asked, index(spark, folder, asked), I.vectors(spark, folder))
 
 
 @register(
@@ -71,7 +74,8 @@ def q04(spark: SparkSession, folder: str) -> DataFrame:
 def q05(spark: SparkSession, folder: str) -> DataFrame:
     """Lexical search among sections with MUST: the filter comes before tokenising and ranking."""
     kept = Q.with_keyword(I.sections(spark, folder).select("id", "text"), I.hits(spark, folder), "must")
-    return Q.lexical_search(I.questions(spark, folder), Q.postings(kept)).select("query_id", "id", "rank")
+    asked = I.questions(spark, folder)
+    return Q.lexical_search(asked, Q.postings(kept, questions=asked)).select("query_id", "id", "rank")
 
 
 PLAN_SQL = f"""planned as (select *, list_transform(list_distinct(regexp_extract_all(query, '(?i)\\bRFC\\s*([0-9]{{3,5}})\\b', 1)), lambda x: x::int) rfc_numbers,
@@ -92,7 +96,7 @@ PLAN_SQL = f"""planned as (select *, list_transform(list_distinct(regexp_extract
 )
 def q09(spark: SparkSession, folder: str) -> DataFrame:
     asked = stage_table(I.questions(spark, folder))
-    fused = Q.wide_candidates(asked, index(spark, folder), I.vectors(spark, folder))
+    fused = Q.wide_candidates(asked, index(spark, folder, asked), I.vectors(spark, folder))
     related = relations(I.documents(spark, folder))
     return R.rerank(fused, N.plan(asked), I.sections(spark, folder), related).select("query_id", "id", "rfc_number", "section", "score", "category", "rank")
 
@@ -115,7 +119,7 @@ def q13(spark: SparkSession, folder: str) -> DataFrame:
     """Every question names section 1 of its own document."""
     asked = I.questions(spark, folder)
     rows = I.sections(spark, folder)
-    found = Q.lexical_search(asked, index(spark, folder)).join(rows.select("id", "rfc_number", "section"), "id")
+    found = Q.lexical_search(asked, index(spark, folder, asked)).join(rows.select("id", "rfc_number", "section"), "id")
     named = asked.select("query_id", F.col("query_id").alias("rfc_number"), F.lit("1").alias("section"), F.lit(0).alias("at"))
     return Q.merge_referenced(found, named, rows).select("query_id", "id", "rfc_number", "section", F.round("score", 6).alias("score"), "rank")
 
