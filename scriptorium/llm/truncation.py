@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.near_duplicates import may_hold
 from scriptorium.llm.tokenizer import strings
 from scriptorium.session import stage_table
 
@@ -33,7 +34,7 @@ BREAK = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
 CLOSED = re.compile(r"[.!?…。！？♪♫*\])}>\"'”’»—–-]\s*$")
 # The shapes of a timing line, d for a digit.
 SHAPES = [f"{a} --> {b}" for a in ("dd:dd:dd,ddd", "dd:dd,ddd", "d:dd:dd,ddd", "d:dd,ddd") for b in ("dd:dd:dd,ddd", "dd:dd,ddd", "d:dd:dd,ddd", "d:dd,ddd")]
-TAIL = "doc string, source string, declared long, chars long, bytes long, mark boolean, padded boolean, structure string, word string, before string, closes double, closed boolean, ends_in string, closing string"
+TAIL = "doc string, source string, declared long, chars long, bytes long, mark boolean, padded boolean, structure string, word string, before string, closes double, closed boolean, ends_in string, closing string, opening string"
 
 
 def cue_texts(text: str) -> list[list[str]]:
@@ -75,7 +76,7 @@ def tail_of(text: str) -> tuple:
     body = bare[: mark.start()] if mark else bare
     blocks = cue_texts(body)
     if not blocks:
-        return bool(mark), padded, "", None, None, 0.0, True, "blank", None
+        return bool(mark), padded, "", None, None, 0.0, True, "blank", None, None
     structure = breaks_off(blocks)
     cues = [" ".join(spoken(b)) for b in blocks[:-1]]
     cues = [c for c in cues if c]
@@ -94,6 +95,7 @@ def tail_of(text: str) -> tuple:
         bool(CLOSED.search(end)),
         ends,
         end.lower() if len(end) <= 40 else None,
+        end.lower()[:41],
     )
 
 
@@ -102,8 +104,8 @@ def tails(df: DataFrame, key: str, text: str, source: str, declared: str) -> Dat
         for batch in batches:
             texts = strings(batch.column(3))
             rows = [tail_of(t) for t in texts]
-            columns = list(zip(*rows)) if rows else [()] * 9
-            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string()]
+            columns = list(zip(*rows)) if rows else [()] * 10
+            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(3)), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 [c.split()[0] for c in TAIL.split(", ")],
@@ -167,6 +169,17 @@ def trie(words: DataFrame) -> DataFrame:
     return words.where("length(word) between 2 and 60").select(F.explode(prefixes).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("through"))
 
 
+def closing_titles(tails_: DataFrame, least: int = 3) -> DataFrame:
+    """(closing): texts of a last cue that at least ``least`` files share and that go on in no more files than end with
+    them. A cut leaves one of a cue's many beginnings, so among the last cues that begin with a fragment few are the
+    fragment itself, however many files there are."""
+    shared = stage_table(tails_.where("closing != ''").groupBy("closing").agg(F.count("*").alias("files")).where(F.col("files") >= least))
+    begins = F.transform(F.sequence(F.lit(1), F.length("opening") - 1), lambda i: F.col("opening").substr(F.lit(1), i))
+    longer = tails_.where("length(opening) > 1").select(F.explode(begins).alias("closing"))
+    longer = longer.where(may_hold(shared.select(F.col("closing").alias("key")))(F.xxhash64("closing"))).groupBy("closing").agg(F.count("*").alias("longer"))
+    return shared.join(longer, "closing", "left").where("coalesce(longer, 0) <= files").select("closing")
+
+
 def usual_limits(tails_: DataFrame, least: int = 4, times: float = 8.0, beside: int = 40) -> DataFrame:
     """(source, unit, size, marked): lengths at which far more files of a source end than at the ``beside`` lengths
     on either side; marked if most of them carry a mark. Most files at a limit must break off or carry a mark. One row for each source and length is aggregated first."""
@@ -190,7 +203,7 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     nodes = trie(words).join(wanted, "node", "left_semi").withColumnRenamed("node", "word")
     known = words.join(wanted.withColumnRenamed("node", "word"), "word", "left_semi")
     openers = words.where("n >= 3 and penult >= 0.15 * n").select(F.col("word").alias("before"), F.lit(True).alias("credit"))  # words that close with a name
-    closings = ends.where("closing is not null").groupBy("closing").count().where("count >= 3").select("closing", F.lit(True).alias("usual"))
+    closings = closing_titles(ends).select("closing", F.lit(True).alias("usual"))
     limits = usual_limits(ends)
     at = limits.groupBy("source", F.when(F.col("unit") == "chars", F.col("size")).alias("at_chars"), F.when(F.col("unit") == "bytes", F.col("size")).alias("at_bytes")).agg(F.max("marked").alias("marked"))
     by_chars = at.where("at_chars is not null").select("source", F.col("at_chars").alias("chars"), F.col("marked").alias("chars_marked"))

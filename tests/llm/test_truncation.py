@@ -86,3 +86,16 @@ def test_empty_and_extra_columns(spark):
     frame = spark.createDataFrame([(1, "a", "b", 1, "w", 2)], "doc_id bigint, text string, source string, n_chars bigint, word string, chars int")
     assert C.truncated(frame).count() == 0
     assert C.truncated(frame.limit(0)).count() == 0 and C.truncation_by_source(frame.limit(0)).count() == 0
+
+
+def test_fragments_that_files_share(spark):
+    """Many files cut after the same letters are all found; a closing title that is no word of the corpus isn't one."""
+    rng = random.Random(3)
+    rows = [(doc, whole(rng, 12).rstrip("\n"), "src1", None) for doc in range(300)]
+    end = "\n\n99\n00:59:01,100 --> 00:59:04,250\n"
+    rows += [(1000 + k, whole(rng, 12).rstrip("\n") + end + "Wou", "src1", None) for k in range(6)]
+    rows += [(2000 + k, whole(rng, 12).rstrip("\n") + end + "Wo", "src1", None) for k in range(6)]
+    rows += [(3000 + k, whole(rng, 12).rstrip("\n") + end + "Fou", "src1", None) for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").repartition(4)
+    got = {r["doc_id"] for r in C.truncated(frame).collect()}
+    assert got & set(range(1000, 4000)) == {*range(1000, 1006), *range(2000, 2006)}
