@@ -11,8 +11,8 @@ A text emits the cells of its own band, and those of the next one if a partner t
 Cells with a single shingle count only for small texts. At most ``most_cells`` cells of a band are emitted: for
 texts alike to exactly 0.6 about one cell in seven matches, so the chance of no match is about 1e-3 for 48
 cells. In a pigeonhole of up to ``hot`` texts all meet. In a fuller one they meet with their bit sketches at hand, so
-only pairs that the sketches allow leave the task; and those of a pigeonhole with more than ``most_met`` texts meet
-again, likewise, in the pigeonholes of two such cells taken together.
+only pairs that the sketches allow leave the task. One with more than ``most_met`` texts is dealt into blocks, and
+every two blocks of it meet likewise, so no pair of a pigeonhole goes unseen, however full it is.
 
 Texts with the same shingle set are one class; only one of each class is joined.
 
@@ -22,7 +22,6 @@ Defined results: a text with fewer words than a shingle has no shingle and takes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -172,7 +171,8 @@ def meet(holes: DataFrame, threshold: float, hot: int | None, parts: int) -> Dat
 
 
 def narrow_meet(holes: DataFrame, threshold: float, hot: int | None, parts: int, block: int = 512) -> DataFrame:
-    """As :func:`meet` for rows that carry their bit sketch: only pairs whose sketches allow the threshold come out."""
+    """As :func:`meet` for rows that carry their bit sketch: only pairs whose sketches allow the threshold come out.
+    Rows with a ``half`` (0 or 1) meet those of the other half of their pigeonhole only, if it has both."""
     most = (1 - threshold) / (1 + threshold)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,20 +180,25 @@ def narrow_meet(holes: DataFrame, threshold: float, hot: int | None, parts: int,
         if table is None or not table.num_rows:
             return
         hole, text, n = (table.column(c).to_numpy() for c in ("hole", "text", "n"))
-        order = np.lexsort((text, hole))
+        half = table.column("half").to_numpy() if "half" in table.column_names else np.zeros(len(hole), np.int32)
+        order = np.lexsort((text, half, hole))
         order = order[np.r_[True, (hole[order][1:] != hole[order][:-1]) | (text[order][1:] != text[order][:-1])]]
-        hole, text, n = hole[order], text[order], n[order]
+        hole, text, n, half = hole[order], text[order], n[order], half[order]
         sketch = table.column("sketch").take(pa.array(order))
         for a, b in zip(*equal_runs(hole)):
             if hot is not None and b - a > hot:
                 yield pa.RecordBatch.from_arrays([pa.array(text[a:b]), pa.array(hole[a:b]), pa.array(np.ones(b - a, bool))], ["a", "b", "crowded"])
                 continue
             widths, bits = stack(sketch.slice(a, b - a).to_pylist())
-            for i in range(a, b, block):
-                for j in range(i, b, block):
-                    x, y = slice(i, min(i + block, b)), slice(j, min(j + block, b))
+            middle = a + int(np.searchsorted(half[a:b], 1))
+            crossed = a < middle < b
+            for i in range(a, middle if crossed else b, block):
+                for j in range(middle if crossed else i, b, block):
+                    x, y = slice(i, min(i + block, middle if crossed else b)), slice(j, min(j + block, b))
                     left, right = n[x][:, None], n[y][None, :]
-                    good = (np.minimum(left, right) >= threshold * np.maximum(left, right)) & (text[x][:, None] < text[y][None, :])
+                    good = np.minimum(left, right) >= threshold * np.maximum(left, right)
+                    if not crossed:
+                        good &= text[x][:, None] < text[y][None, :]
                     u, v = np.nonzero(good)
                     shared = np.minimum(widths[u + i - a], widths[v + j - a])
                     far = np.zeros(len(u), np.int64)
@@ -202,7 +207,8 @@ def narrow_meet(holes: DataFrame, threshold: float, hot: int | None, parts: int,
                         far[at] = np.bitwise_count(rows[u[at] + i - a] ^ rows[v[at] + j - a]).sum(1, dtype=np.int64)
                     close = far <= most * (n[x][u] + n[y][v]) + 1e-9
                     if close.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(text[x][u[close]]), pa.array(text[y][v[close]]), pa.array(np.zeros(int(close.sum()), bool))], ["a", "b", "crowded"])
+                        one, other = text[x][u[close]], text[y][v[close]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(np.zeros(len(one), bool))], ["a", "b", "crowded"])
 
     return holes.repartition(parts, "hole").mapInArrow(pairs, "a long, b long, crowded boolean")
 
@@ -224,20 +230,15 @@ def stack(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     return widths, folded
 
 
-def together(crowded: DataFrame, size: int, most: int = 16) -> DataFrame:
-    """Pigeonholes of ``size`` crowded cells of a text at a time, of its ``most`` least hashes."""
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, n, holes = [], [], []
-            for t, count, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                got = [hash(c) & 0x7FFFFFFFFFFFFFFF for c in combinations(sorted(set(cells))[:most], size)]
-                text += [t] * len(got)
-                n += [count] * len(got)
-                holes += got
-            yield pa.RecordBatch.from_arrays([pa.array(holes, pa.int64()), pa.array(text, pa.int64()), pa.array(n, pa.int32())], ["hole", "text", "n"])
-
-    return crowded.groupBy("text").agg(F.first("n").alias("n"), F.collect_set("hole").alias("holes")).mapInArrow(combine, "hole long, text long, n int")
+def dealt(fullest: DataFrame, carried: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """(hole, text, half, n, sketch): overfull pigeonholes dealt into blocks of about ``block`` texts, as one pigeonhole
+    for each block and each two blocks; and the number of its rows."""
+    counts = stage_table(fullest.groupBy("hole").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("texts")))
+    rows = counts.agg(F.sum(F.col("texts") * F.col("blocks"))).first()[0] or 0
+    own = fullest.join(counts.select("hole", "blocks"), "hole").withColumn("own", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
+    each = own.select("text", "hole", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spots = each.select(F.xxhash64("hole", F.least("own", "other"), F.greatest("own", "other")).alias("hole"), "text", (F.col("own") > F.col("other")).cast("int").alias("half"))
+    return spots.join(carried, "text"), rows
 
 
 def classes(df: DataFrame, key: str = "id", text: str = "text", words: int = 5, threshold: float = 0.8, most_cells: int = 48) -> tuple[DataFrame, DataFrame]:
@@ -279,8 +280,8 @@ def similar_classes(made: DataFrame, heads: DataFrame, df: DataFrame, key: str =
     crowded = met.where("crowded").select(F.col("a").alias("text"), F.col("b").alias("hole"))
     again = stage_table(narrow_meet(crowded.join(carried, "text"), threshold, most_met, parts))
     fullest = again.where("crowded").select(F.col("a").alias("text"), F.col("b").alias("hole"))
-    combined = together(fullest.join(carried.select("text", "n"), "text"), 2).join(carried.select("text", "sketch"), "text")
-    for more in (again, narrow_meet(combined, threshold, None, parts)):
+    blocks, rows = dealt(fullest, carried, 4 * most_met)
+    for more in (again, narrow_meet(blocks, threshold, None, max(parts, rows // 100_000))):
         pairs = pairs.unionByName(more.where("not crowded").select("a", "b"))
     sketches = heads.select("h1", "n", "sketch", F.col("class").alias("key"))
 

@@ -57,6 +57,20 @@ def test_crowded_pigeonholes(spark, hot, most_met):
         assert links <= want and len(links) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("most_met", [2, 5])
+def test_overfull_pigeonholes(spark, most_met):
+    """Texts put together from the same two versions of 42 places fill all their pigeonholes; no pair is lost."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        versions = [rng.randrange(2) for _ in range(42)]
+        rows.append((f"r{k:02}", " ".join(f"w{i}" if i % 6 else f"x{i}v{versions[i // 6]}" for i in range(252))))
+    frame = spark.createDataFrame(rows, "id string, text string")
+    made_rows, heads = D.classes(frame, words=3, threshold=0.6)
+    links = {(r["class_a"], r["class_b"]) for r in D.similar_classes(made_rows, heads, frame, words=3, threshold=0.6, hot=1, most_met=most_met).collect()}
+    assert links == brute(rows, 3, 0.6)
+
+
 def test_groups(spark):
     rows = [r for r in made(5)]
     frame = spark.createDataFrame(rows, "id string, text string")
