@@ -8,7 +8,9 @@ Hamming distance bounds the symmetric difference from below, drops candidates, a
 their shingle sets.
 
 A text emits the cells of its own band, and those of the next one if a partner there can be alike enough.
-Cells with a single shingle count only for small texts. At most ``most_cells`` cells of a band are emitted: for
+Cells with a single shingle count only for small texts. A text of at most 2 ** TINY_BAND shingles has too few cells for a
+match to be sure, so the least hashes of its shingles are pigeonholes too, as many as two alike texts must have one
+of in common (prefix filter), which is exact where both texts are that small. At most ``most_cells`` cells of a band are emitted: for
 texts alike to exactly 0.6 about one cell in seven matches, so the chance of no match is about 1e-3 for 48
 cells. In a pigeonhole of up to ``hot`` texts all meet. In a fuller one they meet with their bit sketches at hand, so
 only pairs that the sketches allow leave the task. One with more than ``most_met`` texts is dealt into blocks, and
@@ -35,6 +37,7 @@ from scriptorium.llm.tokenizer import strings
 from scriptorium.session import default_parallelism, stage_table
 
 SMALL_BAND = 6  # bands up to 2 ** 6 shingles use fine cells
+TINY_BAND = 5  # texts up to 2 ** 5 shingles also meet in their least shingles
 FEATURES = "key string, n int, h1 long, h2 long, cells array<long>, sketch binary"
 
 
@@ -87,6 +90,15 @@ def parity_cells(value: np.ndarray, offsets: np.ndarray, band: np.ndarray, use:
         return text, mix(parity[good] + mix((band[text] * most_cells + spot + 1).astype(np.uint64)))
 
 
+def prefix_holes(value: np.ndarray, offsets: np.ndarray, use: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, pigeonhole) of the used texts' least shingles: of n all but ceil(threshold * n) - 1, since texts alike to the
+    threshold have at least ceil(threshold * n) in common and so the least of these among the first of both."""
+    n = np.diff(offsets)
+    count = np.where(use, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+    at = ragged(offsets[:-1], np.minimum(count, n))
+    return np.repeat(np.arange(len(n)), np.minimum(count, n)), mix(value[at] ^ np.uint64(0x3C3C3C3C3C3C3C3C))
+
+
 def bit_sketch(value: np.ndarray, n: int) -> bytes:
     """Parity of the shingles at each of 2n or more bits (a power of two, 64 at least)."""
     bits = 1 << max(6, int(2 * n - 1).bit_length())
@@ -120,7 +132,7 @@ def features(df: DataFrame, key: str, text: str, words: int, threshold: float, m
                 with np.errstate(over="ignore"):
                     h1 = np.add.reduceat(mix(value), offsets[full])
                     h2 = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[full])
-                parts = [parity_cells(value, offsets, band, n > 0, most_cells), parity_cells(value, offsets, band + 1, n >= threshold * (np.exp2(band) + 1), most_cells)]
+                parts = [parity_cells(value, offsets, band, n > 0, most_cells), parity_cells(value, offsets, band + 1, n >= threshold * (np.exp2(band) + 1), most_cells), prefix_holes(value, offsets, (n > 0) & (band <= TINY_BAND), threshold)]
                 owner, hole = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 order = np.argsort(owner, kind="stable")
                 counts = np.bincount(owner, minlength=b - a)[full]

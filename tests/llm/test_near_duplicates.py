@@ -71,6 +71,18 @@ def test_overfull_pigeonholes(spark, most_met):
     assert links == brute(rows, 3, 0.6)
 
 
+def test_pairs_of_few_shingles(spark):
+    """Each text of few shingles beside one with words put after it or its last word changed."""
+    rng = random.Random(9)
+    rows, word = [], lambda: f"w{rng.randrange(10**9)}"
+    for k, (size, kept, more) in enumerate(((2, 2, 1), (3, 3, 2), (4, 3, 1), (5, 4, 1), (5, 5, 3), (12, 10, 3)) * 60):
+        words = [word() for _ in range(size + 2)]
+        rows += [(f"a{k:03}", " ".join(words)), (f"b{k:03}", " ".join(words[: kept + 2] + [word() for _ in range(more)]))]
+    frame = spark.createDataFrame(rows, "id string, text string")
+    got = {tuple(r) for r in D.near_duplicate_pairs(frame, words=3, threshold=0.6).collect()}
+    assert got == {(f"a{k:03}", f"b{k:03}") for k in range(360)}
+
+
 def test_groups(spark):
     rows = [r for r in made(5)]
     frame = spark.createDataFrame(rows, "id string, text string")
