@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,8 @@ def search(questions: DataFrame, tables: dict[str, DataFrame], limit: int = 10,
     """Q12: plan, retrieve, rerank, put named sections first, add the status; (query_id, id, rfc_number, section,
     heading, excerpt, score, rank, category, obsoleted_by, updated_by).
 
-    ``questions``: query_id, query, vector. A keyword given goes before one that the plan suggests, which is used
-    for a single question only, since a filter comes before ranking and holds for the whole table.
+    ``questions``: query_id, query, vector. A keyword given goes before one that the plan suggests for a question. A
+    filter comes before ranking, so the questions of each keyword (the plan knows three, or none) are retrieved apart.
     """
     limit = Q.clamp(limit)
     planned = N.plan(questions if planner else questions.withColumn("query", F.lit("")))
@@ -42,15 +43,20 @@ def search(questions: DataFrame, tables: dict[str, DataFrame], limit: int = 10,
     sections, hits = tables["rfc_sections"], tables["normative_occurrences"]
     related = relations(tables["indexed_rfcs"])
     wanted = (keyword or "").strip() or None
-    if wanted is None and planner:
-        first = planned.select("suggested_keyword").limit(2).collect()
-        wanted = first[0][0] if len(first) == 1 else None
-    kept = Q.with_keyword(sections, hits, wanted) if wanted and not vector_only else sections
-    vectors = kept.where("embedding is not null").select("id", F.col("embedding").alias("vector"))
     if vector_only:
+        vectors = sections.where("embedding is not null").select("id", F.col("embedding").alias("vector"))
         found = Q.vector_search(planned, vectors, limit).select("query_id", "id", "score", "rank").join(sections.select("id", "rfc_number", "section"), "id")
     else:
-        fused = Q.wide_candidates(planned, Q.postings(kept.select("id", "text"), questions=planned), vectors, limit)
+        groups = [(wanted, planned)]
+        if wanted is None and planner:
+            suggested = sorted((r[0] for r in planned.select("suggested_keyword").distinct().collect()), key=lambda k: k or "")
+            groups = [(k, planned.where(F.col("suggested_keyword").eqNullSafe(F.lit(k)))) for k in suggested] or groups
+        parts = []
+        for word, asked in groups:
+            kept = Q.with_keyword(sections, hits, word)
+            vectors = kept.where("embedding is not null").select("id", F.col("embedding").alias("vector"))
+            parts.append(Q.wide_candidates(asked, Q.postings(kept.select("id", "text"), questions=asked), vectors, limit))
+        fused = reduce(DataFrame.unionByName, parts)
         if reranker:
             found = R.rerank(fused, planned, sections, related, limit).select("query_id", "id", "rfc_number", "section", "score", "rank")
         else:

@@ -162,6 +162,22 @@ def test_engine_over_tables(spark, data):
     assert guarded(engine.search, " ")["is_error"]
 
 
+def test_batch_is_searched_as_alone(spark, data):
+    """Each question of a batch gets the filter of its own suggested keyword."""
+    engine = Engine.over_folder(spark, data, provider=lambda texts: [[float(1 + (len(t) * k) % 7) for k in range(64)] for t in texts])
+    texts = ["is the timeout required", "is reuse of a token allowed", "what is forbidden for a session", "quorum threshold of a cluster"]
+
+    def rows(frame):
+        return {(r["id"], r["rank"], r["score"]) for r in frame.collect()}
+
+    batch = engine.search(engine.questions(*texts), 8).localCheckpoint()
+    for k, text in enumerate(texts):
+        assert rows(batch.where(f"query_id = {k}")) == rows(engine.search(text, 8)) != set()
+    held = engine.tables["normative_occurrences"].where("keyword = 'MAY'").select("section_id")
+    assert batch.where("query_id = 1").join(held, batch["id"] == held["section_id"], "left_anti").count() == 0
+    assert engine.search(engine.questions("x").limit(0), 8).count() == 0
+
+
 def test_embedding():
     calls = []
 
