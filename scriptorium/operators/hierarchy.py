@@ -1,118 +1,224 @@
 """Parent links to full hierarchies by tree contraction.
 
-Links go from a node to the nodes it builds on; a root has no link. Contraction alternates two steps and records
-what it removes: *raking* takes away nodes that nothing links to, *compression* splices out nodes with a single
-link, so a chain of any length goes in a logarithmic number of rounds. What neither step can remove is the core:
-cycles, and what lies between them. The core is solved by relaxation, and the recorded steps are undone in
-reverse, which gives every node its roots and depths and tells which spliced nodes lie on a cycle.
+Links go from a node to the nodes it builds on; a root has no link. A round of contraction *rakes* the nodes that
+nothing links to and *compresses* unary chains by splicing out nodes with a single link, no two neighbours in one
+round. Every round is one job: it reads the links that are left and writes one table, in which the links of raked
+nodes, those of spliced nodes and those that are left stand apart. Once at most ``block_links`` links are left, one
+task contracts them to the end by the same two steps. What neither step can remove is the core: cycles, and what
+can be reached from them. The recorded steps are undone in reverse; that gives each node its roots, depths, paths
+and ancestors, and tells which spliced nodes lie on a cycle.
 
-Nothing is collected on the driver; each round works on tables in the shared folder.
+A core of more than ``block_links`` links stays distributed: it is solved by relaxation, and its strong components
+by colouring, in rounds that grow with its diameter.
+
+Nothing is collected on the driver. A round takes about half of a forest; a graph of nodes with several links each loses a
+layer of leaves a round.
 
 Defined results: links to a number that has no row, null numbers and repeated links are ignored; a node may link
-to itself and is then on a cycle; an empty table gives an empty result.
+to itself and is then on a cycle; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import stage_table
+from scriptorium.operators.contraction import Block
+from scriptorium.session import stage_path, stage_table
+
+BLOCK_LINKS = 8_192
+LEFT, RAKED, SPLICED, INTO, LOOP = range(5)
 
 
 def links_of(current: DataFrame, key: str = "rfc_number", lists: tuple[str, ...] = ("updates", "obsoletes")) -> DataFrame:
     """(src, dst): one row for each node and each number in its lists that has a row itself."""
     every = F.concat(*(F.coalesce(c, F.array().cast("array<int>")) for c in lists))
-    links = current.select(F.col(key).alias("src"), F.explode(every).alias("dst")).where("src is not null and dst is not null").distinct()
+    links = current.select(F.col(key).alias("src"), F.explode(F.array_distinct(every)).alias("dst")).where("src is not null and dst is not null").distinct()
     return links.join(current.select(F.col(key).alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 
-def shortest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src", "dst").agg(F.min("w").alias("w"))
+def least(df: DataFrame, *by: str, via: str | None = None, cost: str = "w") -> DataFrame:
+    """The least cost of each key, and with ``via`` the least nodes between at that cost."""
+    if via is None:
+        return df.groupBy(*by).agg(F.min(cost).alias(cost))
+    return df.groupBy(*by).agg(F.min(F.struct(cost, via)).alias("_x")).select(*by, f"_x.{cost}", f"_x.{via}")
 
 
 class Contraction:
-    """Record of a contraction: ``steps`` of (rows removed with their links, links into spliced rows), and the core."""
-
-    def __init__(self, links: DataFrame, most_rounds: int = 200) -> None:
-        self.steps: list[tuple[DataFrame, DataFrame | None]] = []
-        edges = links.select("src", "dst", F.lit(1).alias("w"))
-        self.loops = [stage_table(edges.where("src = dst").select("src").distinct())]
-        edges = stage_table(edges.where("src != dst"))
-        left = edges.count()
-        for turn in range(most_rounds):
-            if not left:
-                break
-            targets = edges.select(F.col("dst").alias("src")).distinct()
-            raked = edges.join(targets, "src", "left_anti")
-            inner = edges.join(targets, "src", "left_semi")
-            unary = inner.groupBy("src").agg(F.min("dst").alias("dst"), F.min("w").alias("w"), F.count("*").alias("n")).where("n = 1").drop("n")
-            coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
-            # no two neighbours go in one round: the ends of unary chains all do, others by a coin unless before an end
-            marked = unary.join(unary.select(F.col("src").alias("dst"), F.lit(True).alias("also")), "dst", "left")
-            ends = marked.select(F.col("src").alias("dst"), F.col("also").isNull().alias("end"))
-            spliced = marked.join(ends, "dst", "left").where(F.col("also").isNull() | (~F.col("end") & coin("src") & ~coin("dst"))).select("src", "dst", "w")
-            spliced = stage_table(spliced)
-            raked = raked.select("src", "dst", "w")
-            rest = inner.join(spliced.select("src"), "src", "left_anti")
-            over = spliced.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("more"))
-            through = rest.join(over, "dst").select(F.col("src").alias("into"), F.col("dst").alias("node"), "to", (F.col("w") + F.col("more")).alias("w"))
-            straight = rest.join(over.select("dst"), "dst", "left_anti").select("src", "dst", "w")
-            merged = stage_table(shortest(straight.unionByName(through.select(F.col("into").alias("src"), F.col("to").alias("dst"), "w"))))
-            self.loops.append(merged.where("src = dst").select("src"))
-            self.steps += [(raked, None), (spliced, through.select("node", "into", "to"))]
-            edges = merged.where("src != dst")
-            now = edges.count()  # every node raked or spliced takes a link with it
+    """Record of a contraction of links (src, dst): ``rounds`` of removed links, and ``rest``, what was left.
+
+    A link has its number of original links ``w``, whether ``dst`` is a root (``top``), and, with ``nodes_between``,
+    the nodes it stands for (``via``), so that paths can be told.
+    """
+
+    def __init__(self, links: DataFrame, block_links: int = BLOCK_LINKS, nodes_between: bool = False) -> None:
+        self.via = "via" if nodes_between else None
+        extra = [F.array().cast("array<int>").alias("via")] if nodes_between else []
+        self.columns = ["src", "dst", "w", "top", *(["via"] if nodes_between else [])]
+        built = links.select(F.col("src").alias("dst")).distinct().withColumn("_built", F.lit(True))
+        first = links.join(built, "dst", "left").select(F.when(F.col("src") == F.col("dst"), LOOP).otherwise(LEFT).alias("part"), "src", "dst", F.lit(1).alias("w"), F.col("_built").isNull().alias("top"), *extra)
+        self.first = stage_table(first, ("part",))
+        self.rounds: list[DataFrame] = []
+        left, turn = self.left().count(), 0
+        while left > block_links:
+            self.rounds.append(stage_table(self.round(self.left(), turn), ("part",)))
+            now = self.left().count()
             if now == left:
                 break
-            left = now
-        self.core, self.core_links = edges, left
-
-    def distances(self, roots: DataFrame) -> DataFrame:
-        """(node, root, depth): least number of links from every node to every root it reaches over one or more."""
-        zero = roots.select(F.col("node"), F.col("node").alias("root"), F.lit(0).alias("depth"))
-        known = stage_table(zero.unionByName(relax(self.core, zero)) if self.core_links else zero)
-        for turn, (removed, _) in enumerate(reversed(self.steps), 1):
-            more = removed.join(known.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "root").agg(F.min(F.col("w") + F.col("depth")).alias("depth"))
-            known = known.unionByName(more)
-            if turn % 4 == 0:  # keeps plans short without a table for each step
-                known = stage_table(known)
-        return known.where("depth > 0")
+            left, turn = now, turn + 1
+        self.in_block = left <= block_links
+        self.links_left = left
+
+    def part(self, at: int, kind: int) -> DataFrame:
+        return self.rounds[at].where(F.col("part") == kind).select(*self.columns)
+
+    def left(self) -> DataFrame:
+        return (self.rounds[-1] if self.rounds else self.first).where(F.col("part") == LEFT).select(*self.columns)
+
+    def round(self, edges: DataFrame, turn: int) -> DataFrame:
+        """(part, link): the fate of every link in this round."""
+        carried = ["w", "top", *(["via"] if self.via else [])]
+        sides = edges.select(F.col("src").alias("node"), F.lit(1).alias("outs"), F.lit(0).alias("ins"), F.col("dst").alias("to"), *carried).unionByName(
+            edges.select(F.col("dst").alias("node"), F.lit(0).alias("outs"), F.lit(1).alias("ins")), allowMissingColumns=True
+        )
+        nodes = sides.groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"), F.min("to").alias("to"), *(F.min(c).alias(c) for c in carried)).where("outs > 0")
+        unary = nodes.where("outs = 1 and ins > 0").drop("outs", "ins")
+        coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
+        # of two unary neighbours at most the one with a coin before one without goes
+        facing = unary.select(F.col("node").alias("to"), F.lit(True).alias("_unary"))
+        spliced = unary.where(coin("node")).join(facing, "to", "left").where(F.col("_unary").isNull() | ~coin("to"))
+        gone = nodes.where("ins = 0").select(F.col("node").alias("src"), F.lit(RAKED).alias("fate")).unionByName(spliced.select(F.col("node").alias("src"), F.lit(SPLICED).alias("fate")))
+        over = spliced.select(F.col("node").alias("dst"), F.col("to").alias("_to"), *(F.col(c).alias(f"_{c}") for c in carried))
+        met = edges.join(gone, "src", "left").join(over, "dst", "left")
+        plain = [F.col(c) for c in self.columns[2:]]
+        joined = [(F.col("w") + F.col("_w")).alias("w"), F.col("_top").alias("top"), *([F.concat("via", F.array("dst"), "_via").alias("via")] if self.via else [])]
+        row = lambda part, dst, rest: F.struct(part.alias("part"), "src", dst.alias("dst"), *rest)
+        beyond = row(F.when(F.col("src") == F.col("_to"), F.lit(LOOP)).otherwise(F.lit(LEFT)), F.col("_to"), joined)
+        same = lambda part: row(part, F.col("dst"), plain)
+        fates = F.when(F.col("fate").isNotNull(), F.array(same(F.col("fate")))).when(F.col("_to").isNotNull(), F.array(same(F.lit(INTO)), beyond)).otherwise(F.array(same(F.lit(LEFT))))
+        return least(met.select(F.explode(fates).alias("x")).select("x.*"), "part", "src", "dst", "top", via=self.via)
+
+    def local(self, work: Callable[[Block], Iterator[tuple]], schema: str, kinds: list[pa.DataType], names: list[str]) -> DataFrame:
+        """What ``work`` tells of the links left, in one task; there are at most ``block_links`` of them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            links = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))]
+            rows: list[tuple] = []
+
+            def flush() -> pa.RecordBatch:
+                columns = list(zip(*rows))
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+            for row in work(Block(links)):
+                rows.append(row)
+                if len(rows) == 10_000:
+                    yield flush()
+                    rows.clear()
+            if rows:
+                yield flush()
+
+        return self.left().coalesce(1).mapInArrow(run, schema)
+
+    def distances(self) -> DataFrame:
+        """(node, root, depth[, path]): least number of links from every node to every root it reaches over one or
+        more; with ``nodes_between`` the least nodes after it on a way of that length, the root last."""
+        keep, via = ["node", "root", "depth", *(["path"] if self.via else [])], "path" if self.via else None
+        none = [F.array().cast("array<int>").alias("path")] if self.via else []
+        tops = self.first.where("top").select(F.col("dst").alias("node")).distinct().select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *none)
+        paths = [stage_path(tops)]
+        if self.in_block:
+            typed = [pa.int32()] * 3 + ([pa.list_(pa.int32())] if self.via else [])
+            schema = "node int, root int, depth int" + (", path array<int>" if self.via else "")
+            between = bool(self.via)
+            paths.append(stage_path(self.local(lambda block: block.distances(between), schema, typed, keep)))
+        else:
+            paths.append(stage_path(relax(self.left(), tops, self.via)))
+        spark = tops.sparkSession
+        read = lambda: spark.read.schema(tops.schema).parquet(*paths)
+        more = [F.concat("via", F.array("dst"), "path").alias("path")] if self.via else []
+        step = lambda links, known: links.join(known.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "root", (F.col("w") + F.col("depth")).alias("depth"), *more)
+        for at in reversed(range(len(self.rounds))):
+            spliced = step(self.part(at, SPLICED), read())
+            raked = least(step(self.part(at, RAKED), read().unionByName(spliced)), "node", "root", via=via, cost="depth")
+            paths.append(stage_path(spliced.unionByName(raked)))
+        return read().where("depth > 0")
 
     def cyclic(self) -> DataFrame:
         """(node): nodes that reach themselves over one or more links."""
-        loops = stage_table(reduce(DataFrame.unionByName, self.loops).distinct().select(F.col("src").alias("node")))
-        if not self.core_links and loops.isEmpty():
-            return loops
-        label = stage_table(strong_components(self.core))
-        for turn, through in enumerate((t for _, t in reversed(self.steps) if t is not None), 1):
-            # a spliced node lies on a cycle if a node that linked to it is in one component with its target
-            named = through.join(label.select(F.col("node").alias("into"), F.col("label").alias("a")), "into", "left").join(label.select(F.col("node").alias("to"), F.col("label").alias("b")), "to", "left")
-            inside = named.where("into = to or a = b").groupBy("node").agg(F.min(F.coalesce("b", "to")).alias("label"), F.min("to").alias("to"))
-            whole = inside.select("node", "label").unionByName(inside.select(F.col("to").alias("node"), "label"))
-            label = label.unionByName(whole).groupBy("node").agg(F.min("label").alias("label"))
-            if turn % 2 == 0:
-                label = stage_table(label)
+        loops = stage_table(reduce(DataFrame.unionByName, (r.where(F.col("part") == LOOP).select(F.col("src").alias("node")) for r in [self.first, *self.rounds])).distinct())
+        if self.in_block:
+            label = self.local(lambda block: block.cycles(), "node int, label int", [pa.int32()] * 2, ["node", "label"])
+        else:
+            label = strong_components(self.left())
+        label = stage_table(label)
+        if self.rounds and not (loops.isEmpty() and label.isEmpty()):
+            for at in reversed(range(len(self.rounds))):
+                # a spliced node lies on a cycle if a node that linked to it is in one component with its target
+                through = self.part(at, INTO).select(F.col("src").alias("into"), F.col("dst").alias("node")).join(self.part(at, SPLICED).select(F.col("src").alias("node"), F.col("dst").alias("to")), "node")
+                named = through.join(label.select(F.col("node").alias("into"), F.col("label").alias("a")), "into", "left").join(label.select(F.col("node").alias("to"), F.col("label").alias("b")), "to", "left")
+                inside = named.where("into = to or a = b").groupBy("node").agg(F.min(F.coalesce("b", "to")).alias("label"), F.min("to").alias("to"))
+                whole = inside.select(F.explode(F.array("node", "to")).alias("node"), "label")
+                label = stage_table(label.unionByName(whole).groupBy("node").agg(F.min("label").alias("label")))
         return label.select("node").unionByName(loops).distinct()
 
+    def pairs(self) -> DataFrame:
+        """(low, top, depth): every node with every node it reaches over one or more links, and the least number of them."""
+        spark = self.first.sparkSession
+        if self.in_block:
+            start = self.local(lambda block: block.pairs(), "low int, top int, depth int", [pa.int32()] * 3, ["low", "top", "depth"])
+        else:
+            start = closure(self.left())
+        paths = [stage_path(start)]
+        read = lambda: spark.read.schema("low int, top int, depth int").parquet(*paths)
+        for at in reversed(range(len(self.rounds))):
+            up = upwards(self.part(at, SPLICED), read())
+            into = self.part(at, INTO)
+            below = into.join(read().unionByName(up).select("low", F.col("top").alias("src"), "depth"), "src").select("low", F.col("dst").alias("top"), (F.col("depth") + F.col("w")).alias("depth"))
+            down = least(below.unionByName(into.select(F.col("src").alias("low"), F.col("dst").alias("top"), F.col("w").alias("depth"))), "low", "top", cost="depth")
+            paths.append(stage_path(up.unionByName(down)))
+            paths.append(stage_path(upwards(self.part(at, RAKED), read())))
+        # a cycle that came down to a link from a node to itself
+        loops = reduce(DataFrame.unionByName, (r.where(F.col("part") == LOOP).select(F.col("src").alias("low"), F.col("dst").alias("top"), F.col("w").alias("depth")) for r in [self.first, *self.rounds]))
+        return read().where("low != top").unionByName(least(read().where("low = top").unionByName(loops), "low", "top", cost="depth"))
+
+
+def upwards(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(low, top, depth) of the sources of links whose targets' pairs are known."""
+    direct = links.select(F.col("src").alias("low"), F.col("dst").alias("top"), F.col("w").alias("depth"))
+    further = links.join(pairs.select(F.col("low").alias("dst"), F.col("top").alias("_top"), "depth"), "dst").select(F.col("src").alias("low"), F.col("_top").alias("top"), (F.col("w") + F.col("depth")).alias("depth"))
+    return least(direct.unionByName(further), "low", "top", cost="depth")
+
 
-def relax(core: DataFrame, known: DataFrame, most_rounds: int = 100_000) -> DataFrame:
-    """(node, root, depth) of the core's nodes: rounds of relaxation over those that changed."""
-    best = None
-    front = known
-    for _ in range(most_rounds):
-        new = core.join(front.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "root").agg(F.min(F.col("w") + F.col("depth")).alias("depth"))
+def relax(core: DataFrame, known: DataFrame, via: str | None = None) -> DataFrame:
+    """(node, root, depth[, path]) of a distributed core's nodes: rounds of relaxation over those that changed."""
+    path, more = ("path", [F.concat("via", F.array("dst"), "path").alias("path")]) if via else (None, [])
+    value = F.struct("depth", *(["path"] if via else []))
+    best, front = None, known
+    while True:
+        reached = core.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "root", (F.col("w") + F.col("depth")).alias("depth"), *more)
+        new = least(reached, "node", "root", via=path, cost="depth")
         if best is not None:
-            old = best.select("node", "root", F.col("depth").alias("old"))
-            new = new.join(old, ["node", "root"], "left").where("old is null or depth < old").drop("old")
+            new = new.join(best.select("node", "root", value.alias("_old")), ["node", "root"], "left").where(F.col("_old").isNull() | (value < F.col("_old"))).drop("_old")
         new = stage_table(new)
         if new.isEmpty():
-            break
-        best = new if best is None else stage_table(best.unionByName(new).groupBy("node", "root").agg(F.min("depth").alias("depth")))
+            return new if best is None else best
+        best = new if best is None else stage_table(least(best.unionByName(new), "node", "root", via=path, cost="depth"))
         front = new
-    return new if best is None else best
+
+
+def closure(core: DataFrame) -> DataFrame:
+    """(low, top, depth) of a distributed core, by doubling: its nodes reach one another, so it has that many rows."""
+    known = stage_table(core.select(F.col("src").alias("low"), F.col("dst").alias("top"), F.col("w").alias("depth")))
+    while True:
+        longer = known.select("low", F.col("top").alias("mid"), "depth").join(known.select(F.col("low").alias("mid"), "top", F.col("depth").alias("more")), "mid").select("low", "top", (F.col("depth") + F.col("more")).alias("depth"))
+        new = stage_table(least(known.unionByName(longer), "low", "top", cost="depth"))
+        if new.join(known, ["low", "top", "depth"], "left_anti").isEmpty():
+            return new
+        known = new
 
 
 def trim(edges: DataFrame) -> DataFrame:
@@ -164,39 +270,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return done.join(done.groupBy("label").count().where("count > 1").select("label"), "label", "left_semi").select("node", "label")
 
 
-def roots_and_depths(current: DataFrame, key: str = "rfc_number") -> DataFrame:
+def roots_and_depths(current: DataFrame, key: str = "rfc_number", block_links: int = BLOCK_LINKS) -> DataFrame:
     """(key, root_number, depth), and (key, -1, -1) for each node that reaches itself."""
-    links = stage_table(links_of(current, key))
-    roots = current.select(F.col(key).alias("node")).where("node is not null").distinct().join(links.select(F.col("src").alias("node")), "node", "left_anti")
-    work = Contraction(links)
-    reached = work.distances(roots).select(F.col("node").alias(key), F.col("root").alias("root_number"), "depth")
+    work = Contraction(links_of(current, key), block_links)
+    reached = work.distances().select(F.col("node").alias(key), F.col("root").alias("root_number"), "depth")
     loops = work.cyclic().select(F.col("node").alias(key), F.lit(-1).alias("root_number"), F.lit(-1).alias("depth"))
     return reached.unionByName(loops)
 
 
-def paths(current: DataFrame, key: str = "rfc_number") -> DataFrame:
-    """(key, root_number, depth, path): a shortest path to each root, over the least numbers, by pointer doubling."""
-    links = stage_table(links_of(current, key))
-    roots = current.select(F.col(key).alias("node")).where("node is not null").distinct().join(links.select(F.col("src").alias("node")), "node", "left_anti")
-    known = stage_table(Contraction(links).distances(roots))
-    ends = known.select("node", "root", "depth").unionByName(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth")))
-    hop = known.join(links.withColumnRenamed("src", "node"), "node").join(ends.select(F.col("node").alias("dst"), "root", F.col("depth").alias("rest")), ["dst", "root"]).where("rest = depth - 1")
-    walk = stage_table(hop.groupBy("node", "root", "depth").agg(F.min("dst").alias("at")).select("node", "root", "depth", "at", F.array("node").alias("path")))
-    while not walk.where("at != root").isEmpty():
-        ahead = walk.select(F.col("node").alias("at"), "root", F.col("at").alias("next"), F.col("path").alias("more"))
-        walk = stage_table(walk.join(ahead, ["at", "root"], "left").select("node", "root", "depth", F.coalesce("next", "at").alias("at"), F.concat("path", F.coalesce("more", F.array().cast("array<int>"))).alias("path")))
-    return walk.select(F.col("node").alias(key), F.col("root").alias("root_number"), "depth", F.concat("path", F.array("root")).alias("path"))
-
-
-def descendants(current: DataFrame, key: str = "rfc_number") -> DataFrame:
-    """(key, descendant, depth): every node that builds on ``key``, with the least number of links; by doubling."""
-    links = links_of(current, key)
-    known = stage_table(links.select(F.col("dst").alias("top"), F.col("src").alias("low"), F.lit(1).alias("depth")))
-    reach = 1
-    while True:
-        front = known.where(F.col("depth") * 2 > reach)
-        longer = front.join(known.select(F.col("top").alias("low"), F.col("low").alias("next"), F.col("depth").alias("more")), "low").select("top", F.col("next").alias("low"), (F.col("depth") + F.col("more")).alias("depth"))
-        new = stage_table(known.unionByName(longer).groupBy("top", "low").agg(F.min("depth").alias("depth")))
-        if new.join(known, ["top", "low", "depth"], "left_anti").isEmpty():
-            return new.select(F.col("top").alias(key), F.col("low").alias("descendant"), "depth")
-        known, reach = new, reach * 2
+def paths(current: DataFrame, key: str = "rfc_number", block_links: int = BLOCK_LINKS) -> DataFrame:
+    """(key, root_number, depth, path): a shortest path to each root, of several the one over the least numbers."""
+    known = Contraction(links_of(current, key), block_links, nodes_between=True).distances()
+    return known.select(F.col("node").alias(key), F.col("root").alias("root_number"), "depth", F.concat(F.array("node"), "path").alias("path"))
+
+
+def descendants(current: DataFrame, key: str = "rfc_number", block_links: int = BLOCK_LINKS) -> DataFrame:
+    """(key, descendant, depth): every node that builds on ``key``, with the least number of links."""
+    found = Contraction(links_of(current, key), block_links).pairs()
+    return found.select(F.col("top").alias(key), F.col("low").alias("descendant"), "depth")

@@ -137,10 +137,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return H.roots_and_depths(I.documents(spark, folder))
 
 
-@register("p3_paths")
+@register(
+    "p3_paths",
+    f"""with recursive {LINKS}, best as (select src, dst as root, min(depth) as depth from reach where dst not in (select src from links) group by src, dst),
+    hop as (select b.src, b.root, b.depth, min(l.dst) as nxt from best b join links l on l.src = b.src left join best c on c.src = l.dst and c.root = b.root
+        where (l.dst = b.root and b.depth = 1) or c.depth = b.depth - 1 group by b.src, b.root, b.depth),
+    walk as (select src, root, depth, src as at, 0 as step, src::varchar as path from best
+        union all select w.src, w.root, w.depth, h.nxt, w.step + 1, w.path || ',' || h.nxt from walk w join hop h on h.src = w.at and h.root = w.root)
+    select src as rfc_number, root as root_number, depth, path from walk where step = depth""",
+)
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """A shortest path to each root."""
-    return H.paths(I.documents(spark, folder))
+    """A shortest path to each root, its numbers joined by commas."""
+    found = H.paths(I.documents(spark, folder))
+    return found.withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), ","))
 
 
 @register("p3_descendants", f"with recursive {LINKS} select dst as rfc_number, src as descendant, min(depth) as depth from reach group by src, dst")

@@ -60,15 +60,19 @@ def clear_stages(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage_table(df: DataFrame, partition_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Write a columnar intermediate to the shared folder and read it back (column pruning, no lineage)."""
-    spark = df.sparkSession
-    path = f"{stage_folder(spark)}/{uuid.uuid4().hex}"
+def stage_path(df: DataFrame, partition_cols: tuple[str, ...] = ()) -> str:
+    """Write a columnar intermediate to the shared folder; several of one schema are read together by their paths."""
+    path = f"{stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_cols:
         writer = writer.partitionBy(*partition_cols)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage_table(df: DataFrame, partition_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Write a columnar intermediate to the shared folder and read it back (column pruning, no lineage)."""
+    return df.sparkSession.read.schema(df.schema).parquet(stage_path(df, partition_cols))
 
 
 def default_parallelism(spark: SparkSession) -> int:

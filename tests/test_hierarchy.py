@@ -37,33 +37,66 @@ def random_links(seed: int, n: int, most: int) -> dict[int, set[int]]:
     return {i: {rng.randrange(n) for _ in range(rng.choice([0, 1, 1, 1, most]))} for i in range(n)}
 
 
-@pytest.mark.parametrize("seed,n,most", [(1, 12, 3), (5, 300, 2)])
-def test_random_graphs(spark, seed, n, most):
-    links = random_links(seed, n, most)
+def least_paths(links):
+    """(node, root, depth, path) over the least numbers, by breadth-first search."""
+    _, reach = brute(links)
+    rows = set()
+    for node, seen in reach.items():
+        for root, depth in seen.items():
+            if links[root]:
+                continue
+            path = [node]
+            while path[-1] != root:
+                left = depth - len(path)
+                path.append(min(d for d in links[path[-1]] if (d == root and left == 0) or (left > 0 and reach[d].get(root) == left)))
+            rows.add((node, root, depth, tuple(path)))
+    return rows
+
+
+def check(spark, links, block_links):
     want, reach = brute(links)
     current = frame(spark, links)
-    got = [tuple(r) for r in H.roots_and_depths(current).collect()]
+    got = [tuple(r) for r in H.roots_and_depths(current, block_links=block_links).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    below = {(top, low, n) for low, seen in reach.items() for top, n in seen.items()}
-    assert {tuple(r) for r in H.descendants(current).collect()} == below
+    pairs = [tuple(r) for r in H.descendants(current, block_links=block_links).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(top, low, n) for low, seen in reach.items() for top, n in seen.items()}
+    paths = [(*tuple(r)[:3], tuple(r["path"])) for r in H.paths(current, block_links=block_links).collect()]
+    assert len(paths) == len(set(paths)) and set(paths) == least_paths(links)
 
 
-def test_long_chain_with_hub_and_path(spark):
-    links = {i: {i - 1} if i else set() for i in range(70)} | {1000 + i: {69} for i in range(30)}
-    current = frame(spark, links)
-    assert {tuple(r) for r in H.roots_and_depths(current).collect()} == brute(links)[0]
-    paths = {r["rfc_number"]: r["path"] for r in H.paths(current).collect()}
-    assert paths[69] == list(range(69, -1, -1))
-    assert len(paths[1000]) == 71
+@pytest.mark.parametrize("seed,n,most,block_links", [(5, 200, 2, 1000), (5, 200, 2, 60), (1, 12, 3, 0)])
+def test_random_graphs(spark, seed, n, most, block_links):
+    check(spark, random_links(seed, n, most), block_links)
+
+
+@pytest.mark.parametrize("block_links", [40])
+def test_long_chain_with_hub(spark, block_links):
+    links = {i: {i - 1} if i else set() for i in range(70)} | {1000 + i: {69} for i in range(30)} | {2000: {2001}, 2001: {2000, 60}}
+    check(spark, links, block_links)
 
 
-def test_forest_with_some_links_back(spark):
+@pytest.mark.parametrize("block_links", [60])
+def test_forest_with_some_links_back(spark, block_links):
     rng = random.Random(11)
     links = {i: {rng.randrange(max(0, i - 40), i) for _ in range(rng.choice([1, 1, 1, 2]))} if i % 17 else set() for i in range(240)}
     for i in range(0, 200, 90):
         links[i] |= {i + 30}
-    current = frame(spark, links)
-    assert {tuple(r) for r in H.roots_and_depths(current).collect()} == brute(links)[0]
+    check(spark, links, block_links)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_blocks(seed):
+    """The block alone, over many small graphs with cycles."""
+    from scriptorium.operators.contraction import Block
+
+    links = random_links(seed, 5 + seed, 2)
+    want, reach = brute(links)
+    rows = [(s, d, 1, not links[d]) for s, ds in links.items() for d in ds if s != d]
+    loops = {s for s, ds in links.items() if s in ds}
+    got = set(Block(rows).distances(False)) | {(n, -1, -1) for n in loops | {n for n, _ in Block(rows).cycles()}}
+    assert got == want
+    whole = {(low, top, n) for low, seen in reach.items() for top, n in seen.items()}
+    assert {p for p in whole if p[0] != p[1] or p[0] not in loops} == {p for p in Block(rows).pairs() if p[0] != p[1] or p[0] not in loops}
 
 
 def test_dirty_lists(spark):
