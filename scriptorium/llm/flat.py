@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MIX_1, MIX_2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,3 +117,48 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
     first = np.flatnonzero(np.r_[True, starts[1:] > ends[:-1]])
     return starts[first], ends[np.r_[first[1:], len(starts)] - 1]
+
+
+def equal_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal sorted keys."""
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return start, np.r_[start[1:], len(keys)].astype(np.int64)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """The rows of batches sorted by an integer column, cut only between its values, so that a task holds no more than
+    a batch and one value's rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(name)).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or held[-1].column(name)[-1].as_py() != keys[-1]):
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(cut)]
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def may_hold(keys: DataFrame, bits: int = 1 << 25):
+    """A test on ``xxhash64(key)`` that is true for all the keys and few others, so that a join with them shuffles few
+    rows. It is one bit array of fixed size (4 MB whatever the number of keys), filled by an aggregation."""
+    spots = keys.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("spot"))
+    filled = spots.groupBy(F.expr("shiftright(spot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        spot = np.mod(hashes.to_numpy(), bits)
+        return pd.Series((words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return test

@@ -7,14 +7,18 @@ enough shingles that cells stay equal, and equal cells (pigeonholes) make candid
 Hamming distance bounds the symmetric difference from below, drops candidates, and the rest are verified on
 their shingle sets.
 
-A text emits the cells of its own band, and those of the next one if a partner there can be alike enough.
-Cells with a single shingle count only for small texts. A text of at most 2 ** TINY_BAND shingles has too few cells for a
-match to be sure, so the least hashes of its shingles are pigeonholes too, as many as two alike texts must have one
-of in common (prefix filter), which is exact where both texts are that small. At most ``most_cells`` cells of a band are emitted: for
-texts alike to exactly 0.6 about one cell in seven matches, so the chance of no match is about 1e-3 for 48
-cells. In a pigeonhole of up to ``hot`` texts all meet. In a fuller one they meet with their bit sketches at hand, so
+A text emits all cells of its own band, and those of the next one if a partner there can be alike enough. The cells
+of a band are laid out so often (``layout``) that two texts alike to exactly the threshold are expected to have 12
+equal cells with enough shingles in them, so that the chance of none is about 6e-6 there and falls
+steeply above it. Cells with a single shingle count only for small texts. A text of at most 2 ** TINY_BAND
+shingles also meets others in its least hashes, as many as two alike texts must have one of in common (prefix
+filter), which is exact where both texts are that small.
+
+In a pigeonhole of up to ``hot`` texts all meet. In a fuller one they meet with their bit sketches at hand, so
 only pairs that the sketches allow leave the task. One with more than ``most_met`` texts is dealt into blocks, and
-every two blocks of it meet likewise, so no pair of a pigeonhole goes unseen, however full it is.
+every two blocks of it meet likewise, so no pair of a pigeonhole goes unseen, however full it is. Pigeonholes that a
+64th of the texts shows to hold a good part of all are dealt at once, without passing through one task; that is
+where they meet, not whether.
 
 Texts with the same shingle set are one class; only one of each class is joined.
 
@@ -23,20 +27,21 @@ Defined results: a text with fewer words than a shingle has no shingle and takes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.flat import chunks, code_points, mix, ragged, runs, span_hash
-from scriptorium.llm.spans import equal_runs, table_of
+from scriptorium.llm.flat import chunks, code_points, equal_runs, may_hold, mix, ragged, runs, span_hash, whole_runs
 from scriptorium.llm.tokenizer import strings
 from scriptorium.session import default_parallelism, stage_table
 
-SMALL_BAND = 6  # bands up to 2 ** 6 shingles use fine cells
+SMALL_BAND = 6  # bands up to 2 ** 6 shingles use fine cells, in which a single shingle counts
+EXPECTED = 12  # equal cells of two texts alike to exactly the threshold
 TINY_BAND = 5  # texts up to 2 ** 5 shingles also meet in their least shingles
 FEATURES = "key string, n int, h1 long, h2 long, cells array<long>, sketch binary"
 
@@ -68,26 +73,48 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def parity_cells(value: np.ndarray, offsets: np.ndarray, band: np.ndarray, use: np.ndarray, most_cells: int) -> tuple[np.ndarray, np.ndarray]:
+def expected_matches(n: float, cells: int, threshold: float, fine: bool) -> float:
+    """Equal cells with enough shingles, of two texts of ``n`` shingles alike to exactly the threshold."""
+    apart, common = 2 * n * (1 - threshold) / (1 + threshold), 2 * n * threshold / (1 + threshold) / cells
+    return cells * math.exp(-apart / cells) * (1 - math.exp(-common) * (1 if fine else 1 + common))
+
+
+@cache
+def layout(band: int, threshold: float) -> tuple[int, int]:
+    """Number of cells of a band and how many times its shingles are dealt into them."""
+    size, fine = 2**band, band <= SMALL_BAND
+    cells = max(int(size / (1.5 if fine else 3)), 1)
+    while cells > 256 and expected_matches(size, cells * 9 // 10, threshold, fine) >= EXPECTED:
+        cells = cells * 9 // 10
+    if band <= TINY_BAND:
+        return cells, 1
+    least = min(expected_matches(n, cells, threshold, fine) for n in (size // 2 + 1, size))
+    return cells, min(max(math.ceil(EXPECTED / max(least, 1e-9)), 1), size)
+
+
+def parity_cells(value: np.ndarray, offsets: np.ndarray, band: np.ndarray, use: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(text, pigeonhole) of the used texts' cells: XOR of the cell's shingles, mixed with the cell and the band."""
     n = np.diff(offsets)
-    owner = np.repeat(np.arange(len(n)), n)
-    fine = band <= SMALL_BAND
-    cells = np.maximum((np.exp2(band) / np.where(fine, 1.5, 3)).astype(np.int64), 1)
-    cell = ((value >> np.uint64(20)) % cells[owner].astype(np.uint64)).astype(np.int64)
-    pick = np.flatnonzero(use[owner] & (cell < most_cells))
-    if not len(pick):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    owner, cell, value = owner[pick], cell[pick], value[pick]
-    key = owner * most_cells + cell
-    order = np.argsort(key, kind="stable")
-    start, end = equal_runs(key[order])
-    parity = np.bitwise_xor.reduceat(mix(value[order]), start)
-    head = order[start]
-    good = (end - start >= 2) | fine[owner[head]]
-    text, spot = owner[head][good], cell[head][good]
-    with np.errstate(over="ignore"):
-        return text, mix(parity[good] + mix((band[text] * most_cells + spot + 1).astype(np.uint64)))
+    cells, times = (np.array([layout(b, threshold)[i] for b in range(int(band.max(initial=0)) + 1)], np.int64) for i in (0, 1))
+    texts, holes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for turn in range(int(times[band[use]].max(initial=0))):
+        used = np.flatnonzero(use & (times[band] > turn))
+        owner, shingle = np.repeat(used, n[used]), value[ragged(offsets[:-1][used], n[used])]
+        spot = (mix(shingle + np.uint64(turn)) if turn else shingle) >> np.uint64(20)
+        cell = (spot % cells[band[owner]].astype(np.uint64)).astype(np.int64)
+        key = (owner << 32) | cell
+        order = np.argsort(key, kind="stable")
+        start, end = equal_runs(key[order])
+        if not len(start):
+            continue
+        parity = np.bitwise_xor.reduceat(mix(shingle[order]), start)
+        head = order[start]
+        good = (end - start >= 2) | (band[owner[head]] <= SMALL_BAND)
+        text, at = owner[head][good], cell[head][good]
+        with np.errstate(over="ignore"):
+            texts.append(text)
+            holes.append(mix(parity[good] + mix(((band[text] * 4096 + turn << 32) + at + 1).astype(np.uint64))))
+    return np.concatenate(texts), np.concatenate(holes)
 
 
 def prefix_holes(value: np.ndarray, offsets: np.ndarray, use: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +143,7 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(wide ^ np.frombuffer(a, np.uint8)).sum())
 
 
-def features(df: DataFrame, key: str, text: str, words: int, threshold: float, most_cells: int) -> DataFrame:
+def features(df: DataFrame, key: str, text: str, words: int, threshold: float) -> DataFrame:
     """One row for each text with a shingle: size, hashes of the set, pigeonholes and bit sketch."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +159,7 @@ def features(df: DataFrame, key: str, text: str, words: int, threshold: float, m
                 with np.errstate(over="ignore"):
                     h1 = np.add.reduceat(mix(value), offsets[full])
                     h2 = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[full])
-                parts = [parity_cells(value, offsets, band, n > 0, most_cells), parity_cells(value, offsets, band + 1, n >= threshold * (np.exp2(band) + 1), most_cells), prefix_holes(value, offsets, (n > 0) & (band <= TINY_BAND), threshold)]
+                parts = [parity_cells(value, offsets, band, n > 0, threshold), parity_cells(value, offsets, band + 1, n >= threshold * (np.exp2(band) + 1), threshold), prefix_holes(value, offsets, (n > 0) & (band <= TINY_BAND), threshold)]
                 owner, hole = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 order = np.argsort(owner, kind="stable")
                 counts = np.bincount(owner, minlength=b - a)[full]
@@ -146,40 +173,32 @@ def features(df: DataFrame, key: str, text: str, words: int, threshold: float, m
     return df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and length(text) > 0").mapInArrow(make, FEATURES)
 
 
-def meet(holes: DataFrame, threshold: float, hot: int | None, parts: int) -> DataFrame:
+def meet(holes: DataFrame, threshold: float, hot: int, parts: int) -> DataFrame:
     """(a, b, crowded): pairs of texts of one pigeonhole that the sizes allow; of a crowded one (text, hole) instead."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(batches)
-        if table is None or not table.num_rows:
-            return
-        hole, text, n = (table.column(c).to_numpy() for c in ("hole", "text", "n"))
-        order = np.lexsort((text, n, hole))
-        order = order[np.r_[True, (hole[order][1:] != hole[order][:-1]) | (text[order][1:] != text[order][:-1])]]
-        hole, text, n = hole[order], text[order], n[order]
-        start, end = equal_runs(hole)
-        size = end - start
-        if hot is not None:
+        for table in whole_runs(batches, "hole"):
+            hole, text, n = (table.column(c).to_numpy() for c in ("hole", "text", "n"))
+            order = np.lexsort((text, n, hole))
+            order = order[np.r_[True, (hole[order][1:] != hole[order][:-1]) | (text[order][1:] != text[order][:-1])]]
+            hole, text, n = hole[order], text[order], n[order]
+            start, end = equal_runs(hole)
+            size = end - start
             crowded = np.flatnonzero(np.repeat(size > hot, size))
-            for k in range(0, len(crowded), 200_000):
-                at = crowded[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(text[at]), pa.array(hole[at]), pa.array(np.ones(len(at), bool))], ["a", "b", "crowded"])
             keep = (size > 1) & (size <= hot)
             start, end = start[keep], end[keep]
-        # each text with those after it in its pigeonhole, block by block
-        last = np.repeat(end, end - start)
-        at = ragged(start, end - start)
-        for k in range(0, len(at), 20_000):
-            here, until = at[k : k + 20_000], last[k : k + 20_000]
-            reach = np.minimum(until - here - 1, 1 << 40)
-            left = np.repeat(here, reach)
-            right = ragged(here + 1, reach)
+            # each text with those after it in its pigeonhole
+            last = np.repeat(end, end - start)
+            here = ragged(start, end - start)
+            reach = last - here - 1
+            left, right = np.repeat(here, reach), ragged(here + 1, reach)
             good = (n[left] >= threshold * n[right]) & (text[left] != text[right])
             a, b = text[left[good]], text[right[good]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), bool))], ["a", "b", "crowded"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[np.minimum(a, b), text[crowded]]), pa.array(np.r_[np.maximum(a, b), hole[crowded]]), pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(crowded), bool)])], ["a", "b", "crowded"]
+            )
 
-    return holes.repartition(parts, "hole").mapInArrow(pairs, "a long, b long, crowded boolean")
+    return holes.repartition(parts, "hole").sortWithinPartitions("hole").mapInArrow(pairs, "a long, b long, crowded boolean")
 
 
 def narrow_meet(holes: DataFrame, threshold: float, hot: int | None, parts: int, block: int = 512) -> DataFrame:
@@ -188,41 +207,42 @@ def narrow_meet(holes: DataFrame, threshold: float, hot: int | None, parts: int,
     most = (1 - threshold) / (1 + threshold)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(batches)
-        if table is None or not table.num_rows:
-            return
-        hole, text, n = (table.column(c).to_numpy() for c in ("hole", "text", "n"))
-        half = table.column("half").to_numpy() if "half" in table.column_names else np.zeros(len(hole), np.int32)
-        order = np.lexsort((text, half, hole))
-        order = order[np.r_[True, (hole[order][1:] != hole[order][:-1]) | (text[order][1:] != text[order][:-1])]]
-        hole, text, n, half = hole[order], text[order], n[order], half[order]
-        sketch = table.column("sketch").take(pa.array(order))
-        for a, b in zip(*equal_runs(hole)):
-            if hot is not None and b - a > hot:
-                yield pa.RecordBatch.from_arrays([pa.array(text[a:b]), pa.array(hole[a:b]), pa.array(np.ones(b - a, bool))], ["a", "b", "crowded"])
-                continue
-            widths, bits = stack(sketch.slice(a, b - a).to_pylist())
-            middle = a + int(np.searchsorted(half[a:b], 1))
-            crossed = a < middle < b
-            for i in range(a, middle if crossed else b, block):
-                for j in range(middle if crossed else i, b, block):
-                    x, y = slice(i, min(i + block, middle if crossed else b)), slice(j, min(j + block, b))
-                    left, right = n[x][:, None], n[y][None, :]
-                    good = np.minimum(left, right) >= threshold * np.maximum(left, right)
-                    if not crossed:
-                        good &= text[x][:, None] < text[y][None, :]
-                    u, v = np.nonzero(good)
-                    shared = np.minimum(widths[u + i - a], widths[v + j - a])
-                    far = np.zeros(len(u), np.int64)
-                    for width, rows in bits.items():  # each pair at the shorter of its two lengths
-                        at = np.flatnonzero(shared == width)
-                        far[at] = np.bitwise_count(rows[u[at] + i - a] ^ rows[v[at] + j - a]).sum(1, dtype=np.int64)
-                    close = far <= most * (n[x][u] + n[y][v]) + 1e-9
-                    if close.any():
-                        one, other = text[x][u[close]], text[y][v[close]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(np.zeros(len(one), bool))], ["a", "b", "crowded"])
-
-    return holes.repartition(parts, "hole").mapInArrow(pairs, "a long, b long, crowded boolean")
+        for table in whole_runs(batches, "hole"):
+            hole, text, n = (table.column(c).to_numpy() for c in ("hole", "text", "n"))
+            half = table.column("half").to_numpy() if "half" in table.column_names else np.zeros(len(hole), np.int32)
+            order = np.lexsort((text, half, hole))
+            order = order[np.r_[True, (hole[order][1:] != hole[order][:-1]) | (text[order][1:] != text[order][:-1])]]
+            hole, text, n, half = hole[order], text[order], n[order], half[order]
+            sketch = table.column("sketch").take(pa.array(order))
+            for a, b in zip(*equal_runs(hole)):
+                if hot is not None and b - a > hot:
+                    yield pa.RecordBatch.from_arrays([pa.array(text[a:b]), pa.array(hole[a:b]), pa.array(np.ones(b - a, bool))], ["a", "b", "crowded"])
+                    continue
+                for one, other in allowed(text[a:b], n[a:b], half[a:b], sketch.slice(a, b - a).to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(np.zeros(len(one), bool))], ["a", "b", "crowded"])
+
+    def allowed(text: np.ndarray, n: np.ndarray, half: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        widths, bits = stack(sketches)
+        total, middle = len(text), int(np.searchsorted(half, 1))
+        crossed = 0 < middle < total
+        for i in range(0, middle if crossed else total, block):
+            for j in range(middle if crossed else i, total, block):
+                x, y = slice(i, min(i + block, middle if crossed else total)), slice(j, min(j + block, total))
+                left, right = n[x][:, None], n[y][None, :]
+                good = np.minimum(left, right) >= threshold * np.maximum(left, right)
+                if not crossed:
+                    good &= text[x][:, None] < text[y][None, :]
+                u, v = np.nonzero(good)
+                shared = np.minimum(widths[u + i], widths[v + j])
+                far = np.zeros(len(u), np.int64)
+                for width, rows in bits.items():  # each pair at the shorter of its two lengths
+                    at = np.flatnonzero(shared == width)
+                    far[at] = np.bitwise_count(rows[u[at] + i] ^ rows[v[at] + j]).sum(1, dtype=np.int64)
+                close = far <= most * (n[x][u] + n[y][v]) + 1e-9
+                if close.any():
+                    yield text[x][u[close]], text[y][v[close]]
+
+    return holes.repartition(parts, "hole").sortWithinPartitions("hole").mapInArrow(pairs, "a long, b long, crowded boolean")
 
 
 def stack(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -253,10 +273,10 @@ def dealt(fullest: DataFrame, carried: DataFrame, block: int) -> tuple[DataFrame
     return spots.join(carried, "text"), rows
 
 
-def classes(df: DataFrame, key: str = "id", text: str = "text", words: int = 5, threshold: float = 0.8, most_cells: int = 48) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, key: str = "id", text: str = "text", words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, heads), staged. Rows have key, h1, h2, n and cells; heads one row for each class of equal shingle sets:
     class (its least key), h1, h2, n and sketch."""
-    made = stage_table(features(df, key, text, words, threshold, most_cells))
+    made = stage_table(features(df, key, text, words, threshold))
     heads = made.groupBy("h1", "h2").agg(F.min("key").alias("class"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     return made, stage_table(heads)
 
@@ -266,9 +286,9 @@ def members(made: DataFrame, heads: DataFrame) -> DataFrame:
     return made.select("key", "h1", "h2").join(heads.select("h1", "h2", "class"), ["h1", "h2"]).select("key", "class")
 
 
-def spread_holes(made: DataFrame) -> DataFrame:
-    """(hole, text, n): pigeonholes of each text. Copies have equal ones, which each batch passes on once, so a group
-    of copies of any size adds few rows to a pigeonhole."""
+def spread_holes(made: DataFrame, fullest: np.ndarray, those: bool = False) -> DataFrame:
+    """(hole, text, n): pigeonholes of each text but for the fullest ones, or only these. Copies have equal ones, which
+    each batch passes on once, so a group of copies of any size adds few rows to a pigeonhole."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,21 +297,35 @@ def spread_holes(made: DataFrame) -> DataFrame:
             _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             batch = batch.take(pa.array(np.sort(first)))
             counts = np.diff(batch.column(2).offsets.to_numpy())
-            holes = batch.column(2).flatten()
-            yield pa.RecordBatch.from_arrays([holes, pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.repeat(batch.column(1).to_numpy(), counts))], ["hole", "text", "n"])
+            holes = batch.column(2).flatten().to_numpy()
+            use = np.isin(holes, fullest) if len(fullest) else np.zeros(len(holes), bool)
+            use = use if those else ~use
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (holes, np.repeat(batch.column(0).to_numpy(), counts), np.repeat(batch.column(1).to_numpy(), counts))], ["hole", "text", "n"])
 
     return made.select("h1", "n", "cells").mapInArrow(explode, "hole long, text long, n int")
 
 
+def fullest_holes(made: DataFrame, share: int = 64, part: int = 4096, least: int = 16) -> np.ndarray:
+    """Pigeonholes that hold a ``part``-th or more of the texts with h1 divisible by ``share``, and ``least`` of them: at
+    most ``part`` times the pigeonholes of a text, whatever the number of texts."""
+    some = made.where(F.pmod("h1", F.lit(share)) == 0)
+    most = max(least, some.select("h1").distinct().count() // part)
+    counted = spread_holes(some, np.zeros(0, np.int64)).select("hole", "text").distinct().groupBy("hole").count().where(F.col("count") >= most)
+    return np.sort(counted.select("hole").toArrow().column(0).to_numpy())
+
+
 def similar_classes(made: DataFrame, heads: DataFrame, df: DataFrame, key: str = "id", text: str = "text", words: int = 5, threshold: float = 0.8, hot: int = 4, most_met: int = 512) -> DataFrame:
     """(class_a, class_b, similarity): every two classes alike to the threshold, the smaller first."""
     parts = default_parallelism(df.sparkSession)
-    met = stage_table(meet(spread_holes(made), threshold, hot, parts))
+    full = fullest_holes(made)
+    met = stage_table(meet(spread_holes(made, full), threshold, hot, parts))
     pairs = met.where("not crowded").select("a", "b")
     carried = heads.select(F.col("h1").alias("text"), "sketch", "n")
     crowded = met.where("crowded").select(F.col("a").alias("text"), F.col("b").alias("hole"))
     again = stage_table(narrow_meet(crowded.join(carried, "text"), threshold, most_met, parts))
     fullest = again.where("crowded").select(F.col("a").alias("text"), F.col("b").alias("hole"))
+    if len(full):
+        fullest = stage_table(fullest.unionByName(spread_holes(made, full, True).select("text", "hole").distinct()))
     blocks, rows = dealt(fullest, carried, 4 * most_met)
     for more in (again, narrow_meet(blocks, threshold, None, max(parts, rows // 100_000))):
         pairs = pairs.unionByName(more.where("not crowded").select("a", "b"))
@@ -337,22 +371,6 @@ def similar_classes(made: DataFrame, heads: DataFrame, df: DataFrame, key: str =
     return checked.groupBy(F.least("key_a", "key_b").alias("class_a"), F.greatest("key_a", "key_b").alias("class_b")).agg(F.max("similarity").alias("similarity"))
 
 
-def may_hold(keys: DataFrame, bits: int = 1 << 25):
-    """A test on ``xxhash64(key)`` that is true for all the keys and few others, so that a join with them shuffles few
-    rows. It is one bit array of fixed size (4 MB whatever the number of keys), filled by an aggregation."""
-    spots = keys.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("spot"))
-    filled = spots.groupBy(F.expr("shiftright(spot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
-    words = np.zeros(bits >> 6, np.uint64)
-    words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
-
-    @F.pandas_udf("boolean")
-    def test(hashes: pd.Series) -> pd.Series:
-        spot = np.mod(hashes.to_numpy(), bits)
-        return pd.Series((words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return test
-
-
 def near_duplicate_pairs(df: DataFrame, key: str = "id", text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(key_a, key_b): all pairs of different rows, copies expanded. The output itself grows with copies squared;
     use :func:`near_duplicate_groups` where copies may be many."""

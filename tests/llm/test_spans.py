@@ -31,7 +31,7 @@ def made(seed, n=60):
     return rows + [("null", None), ("empty", ""), ("short", "ab"), ("runs1", "=" * 300), ("runs2", "=" * 90 + "!"), ("again", rows[0][1]), ("self", "q1w2e3r4" * 30)]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 2}, {"automaton_chars": 1}], ids=["automata", "hot", "counted"])
+@pytest.mark.parametrize("options", [{}, {"automaton_chars": 300}, {"automaton_chars": 1}], ids=["shards", "blocks", "a piece a block"])
 def test_against_windows(spark, options):
     rows = made(3)
     frame = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "id string, text string, start int, shard string").repartition(5)
