@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.config import Options
+from scriptorium.operators import embedding as E_
 from scriptorium.operators import evidence as E
 from scriptorium.operators import metrics as M
 from scriptorium.operators import navigation as L
@@ -15,8 +18,11 @@ from scriptorium.operators import tables as T
 from scriptorium.operators.embedding import Provider
 from scriptorium.operators.retrieval import clamp
 from scriptorium.plans import ask as ask_plan
+from scriptorium.plans import evaluate as evaluate_plan
 from scriptorium.plans import index as index_plan
+from scriptorium.session import stage_table
 from scriptorium.sources.store import TABLES, Store
+from scriptorium.sources.traces import write_traces
 
 
 class Engine:
@@ -27,7 +33,7 @@ class Engine:
     @classmethod
     def over_folder(cls, spark: SparkSession, folder: str, options: Options | None = None, provider: Provider | None = None) -> Engine:
         """An engine over Parquet files named like the tables."""
-        tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in [*TABLES, "index_manifest"]}
+        tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in [*TABLES, "index_manifest"] if name != "postings"}
         return cls(spark, options or Options(store_path=folder), tables, provider)
 
     @property
@@ -38,20 +44,31 @@ class Engine:
             store = Store(self.spark, self.options.store_path)
             found = {name: store.table(name) for name in TABLES} | {"index_manifest": store.manifest()}
         found["indexed_rfcs"] = T.current_documents(found["indexed_rfcs"])
+        found["rfc_errata"] = T.current_errata(found["rfc_errata"])
         return found
 
+    def _settings(self) -> dict:
+        o = self.options
+        return {"planner": o.planner, "reranker": o.reranker, "vector_only": o.vector_only, "width": o.embedding_dimensions, "factor": o.candidate_factor, "rrf": o.rrf_constant}
+
     def questions(self, *texts: str) -> DataFrame:
-        """(query_id, query, vector) of question texts, embedded by the provider where there is one."""
+        """(query_id, query, vector) of question texts, embedded by the provider; without vectors if the options ask for
+        lexical search alone (U05)."""
         if any(not t or not t.strip() for t in texts):
             raise ValueError("a question must not be blank")
-        vectors = self.provider(list(texts)) if self.provider else [None] * len(texts)
+        vectors = E_.embed_batch(self.needed_provider(), list(texts), self.options.embedding_dimensions) if self.needed_provider() else [None] * len(texts)
         return self.spark.createDataFrame([(i, t, None if v is None else list(map(float, v))) for i, (t, v) in enumerate(zip(texts, vectors))], "query_id int, query string, vector array<double>")
 
+    def needed_provider(self) -> Provider | None:
+        """The provider; None only if the options say that there are no embeddings."""
+        if self.provider is None and self.options.embedding_model != "none":
+            raise ValueError("no embedding provider; set embedding_model to none for lexical search alone")
+        return self.provider
+
     def search(self, query: str | DataFrame, limit: int = 10, keyword: str | None = None, include_obsolete: bool = False) -> DataFrame:
         """T01; a table of questions is searched in one plan."""
         asked = self.questions(query) if isinstance(query, str) else query
-        o = self.options
-        return ask_plan.search(asked, self.tables, limit, keyword, o.planner, o.reranker, o.vector_only, include_obsolete)
+        return ask_plan.search(asked, self.tables, limit, keyword, include_obsolete=include_obsolete, **self._settings())
 
     def document(self, number: int) -> dict[str, DataFrame]:
         """Metadata, contents and the first sections."""
@@ -110,32 +127,50 @@ class Engine:
         found = self.search(query, limit)
         t = self.tables
         results = found.join(t["rfc_sections"].select("id", "text"), "id").select("query_id", "id", "rfc_number", "section", "heading", "text", "score")
-        return E.assemble(results, t["rfc_sections"], t["normative_occurrences"], t["rfc_errata"], chars=budget).orderBy("query_id", "place")
+        return E.assemble(results, t["rfc_sections"], t["normative_occurrences"], t["rfc_errata"], chars=budget, most=self.options.sections_per_document).orderBy("query_id", "place")
 
-    def ask(self, query: str | DataFrame, model: ask_plan.Model, limit: int = 20, keyword: str | None = None, statuses: tuple[str, ...] = ("verified",)) -> dict[str, DataFrame]:
-        """T12."""
+    def ask(self, query: str | DataFrame, model: ask_plan.Model, limit: int = 20, keyword: str | None = None, statuses: tuple[str, ...] = ("verified",), include_errata: bool = True, include_obsolete: bool = False) -> dict[str, DataFrame]:
+        """T12; with a trace directory a trace of each question goes there."""
         asked = self.questions(query) if isinstance(query, str) else query
-        return ask_plan.ask(asked, self.tables, model, limit, self.options.evidence_budget_chars, statuses, keyword=keyword, planner=self.options.planner, reranker=self.options.reranker, vector_only=self.options.vector_only)
+        o = self.options
+        told = ask_plan.ask(
+            asked, self.tables, model, limit, o.evidence_budget_chars, statuses, o.sections_per_document, o.answer_tokens, include_errata, keyword=keyword, include_obsolete=include_obsolete, **self._settings()
+        )
+        if o.trace_directory:
+            write_traces(told["traces"], o.trace_directory)
+        return told
 
     def index(self, force: bool = False, only: int | None = None) -> dict:
         """C04, S20."""
-        return index_plan.index_run(self.spark, self.options, self.provider, force, only)
+        return index_plan.index_run(self.spark, self.options, self.needed_provider(), force, only)
+
+    def reset_embeddings(self, confirm: bool = False) -> dict:
+        """Embeds and indexes every document again; refuses unless confirmed, since old vectors are lost."""
+        if not confirm:
+            raise ValueError("this replaces all embeddings; confirm to go on")
+        return index_plan.reset_embeddings(self.spark, self.options, self.needed_provider())
+
+    def embedded(self, questions: DataFrame) -> DataFrame:
+        """The questions (query_id, query, ...) with ``vector``, by the provider."""
+        provider = self.needed_provider()
+        if provider is None:
+            return questions.withColumn("vector", F.lit(None).cast("array<float>"))
+        vectors = E_.embed(questions, provider, self.options.embedding_dimensions, "query_id", "query", self.options.embedding_batch_size, self.options.embedding_concurrency)
+        return questions.join(vectors.withColumnRenamed("embedding", "vector"), "query_id")
 
     def evaluate(self, questions: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
-        """Retrieval metrics of a question set (query_id, query, vector, documents, sections), all in one plan.
-
-        A question that expects sections is judged by sections, else by documents.
-        """
-        found = self.search(questions.select("query_id", "query", "vector"), clamp(limit))
-        name = F.concat_ws("#", "rfc_number", "section")
-        by_section = questions.where("size(sections) > 0").select("query_id")
-        sections = found.join(by_section, "query_id", "left_semi").select("query_id", "rank", name.alias("item"))
-        documents = M.document_ranking(found.join(by_section, "query_id", "left_anti")).select("query_id", "rank", F.col("item").cast("string").alias("item"))
-        expected = M.expected_sections(questions.where("size(sections) > 0")).select("query_id", name.alias("item")).unionByName(
-            questions.join(by_section, "query_id", "left_anti").select("query_id", F.explode(F.col("documents").cast("array<string>")).alias("item"))
-        )
-        metrics = M.retrieval_metrics(sections.unionByName(documents), expected, questions, limit)
-        return {"questions": metrics, "summary": M.retrieval_summary(metrics)}
+        """Retrieval metrics of a question set (query_id, query, vector, documents, sections), all in one plan."""
+        began = time.monotonic()
+        found = stage_table(self.search(questions.select("query_id", "query", "vector"), clamp(limit)))
+        each = (time.monotonic() - began) * 1000 / max(questions.count(), 1)
+        metrics = evaluate_plan.retrieval(found, questions, limit).withColumn("latency_ms", F.lit(each))
+        return {"questions": metrics, "summary": M.retrieval_summary(metrics, "latency_ms")}
+
+    def evaluate_answers(self, questions: DataFrame, model: ask_plan.Model, limit: int = 10) -> dict[str, DataFrame]:
+        """Retrieval metrics, and answer metrics of each question with their summary."""
+        told = self.ask(questions.select("query_id", "query", "vector"), model, limit)
+        answers = evaluate_plan.answers(told["answers"], told["citations"], told["support"], questions, R.obsolete_documents(self.tables["indexed_rfcs"]))
+        return {**self.evaluate(questions, limit), "answers": answers, "answer_summary": M.answer_summary(answers)}
 
 
 def guarded(call, *args: object, **kwargs: object) -> dict:

@@ -11,7 +11,7 @@ class Options:
     store_path: str = ""
     errata_path: str | None = None
     parser: str = "text"
-    embedding_model: str = "vocabulary"
+    embedding_model: str = "vocabulary"  # "none" asks for lexical search without vectors
     embedding_dimensions: int = 64
     embedding_batch_size: int = 10
     embedding_concurrency: int = 2
@@ -37,6 +37,9 @@ class Options:
             (self.indexing_parallelism >= 1, "indexing_parallelism must be positive"),
             (self.evidence_budget_chars >= 1, "evidence_budget_chars must be positive"),
             (self.answer_tokens >= 1, "answer_tokens must be positive"),
+            (self.sections_per_document >= 1, "sections_per_document must be positive"),
+            (self.candidate_factor >= 1, "candidate_factor must be positive"),
+            (self.rrf_constant >= 1, "rrf_constant must be positive"),
         ]
         return [message for good, message in checks if not good]
 

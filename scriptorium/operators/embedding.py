@@ -7,9 +7,11 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The vocabulary and its dimensions of the test embedder.
@@ -34,12 +36,34 @@ class Retryable(Exception):
         self.after = after
 
 
-def vocabulary_vector(text: Column | str, words: dict[str, int] | None = None) -> Column:
-    """One number a word, in the vocabulary's order: present or not, scaled to length 1; all zero if none is present."""
+WIDTH = max(VOCABULARY.values()) + 1
+
+
+def vocabulary_vector(text: Column | str, width: int = WIDTH, words: dict[str, int] | None = None) -> Column:
+    """A vector of ``width`` numbers; a word that the text holds is 1 at its dimension (modulo the width), else all is
+    0, and the whole is scaled to length 1, if any word is there."""
     upper = F.upper(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    found = F.array(*(F.contains(upper, F.lit(w)).cast("double") for w in (words or VOCABULARY)))
-    length = F.sqrt(F.aggregate(found, F.lit(0.0), lambda s, x: s + x))
-    return F.transform(found, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+    at: dict[int, Column] = {}
+    for word, place in (words or VOCABULARY).items():
+        held = F.contains(upper, F.lit(word)).cast("double")
+        at[place % width] = F.greatest(at[place % width], held) if place % width in at else held
+    length = F.sqrt(reduce(lambda a, b: a + b, at.values()))
+    return F.array(*(F.coalesce(F.try_divide(at[i], length), F.lit(0.0)) if i in at else F.lit(0.0) for i in range(width)))
+
+
+def vocabulary_provider(width: int = WIDTH, words: dict[str, int] | None = None) -> Provider:
+    """The same vectors as a provider, for runs without a model."""
+    table = words or VOCABULARY
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            upper = (text or "").upper()
+            held = {place % width for word, place in table.items() if word in upper}
+            out.append([len(held) ** -0.5 if i in held else 0.0 for i in range(width)])
+        return out
+
+    return vectors
 
 
 def is_retryable(status: int | None) -> bool:
@@ -61,13 +85,15 @@ def delay(attempt: int, after: str | None, now: datetime | None = None, roll: Ca
     return roll() * min(30.0, 2.0**attempt)
 
 
-def embed_batch(provider: Provider, texts: list[str], width: int, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
-    """Vectors of a batch; an empty answer is asked for one by one, and still empty is a zero vector."""
+def embed_batch(provider: Provider, texts: list[str], width: int, attempts: int = 3, sleep: Callable[[float], None] = time.sleep, counted: Callable[[str], None] = lambda name: None) -> list[list[float]]:
+    """Vectors of a batch; an empty answer is asked for one by one, and still empty is a zero vector. ``counted``
+    is told of each batch and retry (U06)."""
     for attempt in range(1, attempts + 1):
         try:
+            counted("batches")
             got = provider(texts)
             if not got and len(texts) > 1:
-                return [embed_batch(provider, [t], width, attempts, sleep)[0] for t in texts]
+                return [embed_batch(provider, [t], width, attempts, sleep, counted)[0] for t in texts]
             if not got or (len(got) == 1 and not len(got[0])):
                 return [[0.0] * width for _ in texts]
             if len(got) != len(texts):
@@ -78,20 +104,25 @@ def embed_batch(provider: Provider, texts: list[str], width: int, attempts: int
         except Retryable as failure:
             if attempt == attempts:
                 raise
+            counted("retries")
             sleep(delay(attempt, failure.after))
     raise AssertionError
 
 
-def embed(df: DataFrame, provider: Provider, width: int, key: str = "id", text: str = "text", batch: int = 10, concurrency: int | None = None) -> DataFrame:
+def embed(df: DataFrame, provider: Provider, width: int, key: str = "id", text: str = "text", batch: int = 10, concurrency: int | None = None, counted: dict[str, Accumulator] | None = None) -> DataFrame:
     """(key, embedding) in batches, in order; ``concurrency`` bounds how many tasks call the provider at once.
 
-    Batches and retries are counted in the accumulators of :func:`counters` if given to the provider.
+    Batches and retries are counted in the accumulators of :func:`counters` if given.
     """
 
+    def count(name: str) -> None:
+        if counted is not None:
+            counted[name].add(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts = [t or "" for t in rows.column(1).to_pylist()]
-            vectors = [v for a in range(0, len(texts), batch) for v in embed_batch(provider, texts[a : a + batch], width)]
+            vectors = [v for a in range(0, len(texts), batch) for v in embed_batch(provider, texts[a : a + batch], width, counted=count)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(vectors, pa.list_(pa.float32()))], [key, "embedding"])
 
     chosen = df.select(key, text)
@@ -100,7 +131,6 @@ def embed(df: DataFrame, provider: Provider, width: int, key: str = "id", text:
     return chosen.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, embedding array<float>")
 
 
-def counters(df: DataFrame) -> dict:
-    """Accumulators for batches and retries, to be updated by a provider."""
-    context = df.sparkSession.sparkContext
-    return {name: context.accumulator(0) for name in ("batches", "retries")}
+def counters(spark: SparkSession) -> dict[str, Accumulator]:
+    """Accumulators for batches and retries."""
+    return {name: spark.sparkContext.accumulator(0) for name in ("batches", "retries")}

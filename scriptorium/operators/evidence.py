@@ -56,6 +56,12 @@ def budget(results: DataFrame, chars: int = BUDGET) -> DataFrame:
     return flagged.where((F.col("place") == 1) | (F.col("used") <= chars))
 
 
+def budget_warnings(pack: DataFrame, chars: int = BUDGET) -> DataFrame:
+    """(query_id, warning): a record for each question whose results didn't all fit."""
+    told = F.concat(F.lit("evidence cut at "), F.lit(chars), F.lit(" characters; "), F.count("*"), F.lit(" sections kept"))
+    return pack.where("budget_exceeded").groupBy("query_id").agg(told.alias("warning"))
+
+
 def parent_headings(rows: DataFrame, sections: DataFrame) -> DataFrame:
     """Rows with ``parents``: headings of their strict dotted prefixes, outermost first; null headings left out."""
     chain = ancestors(rows.withColumn("score", F.lit(0.0)) if "score" not in rows.columns else rows).select("rfc_number", F.col("section").alias("prefix"), F.col("child").alias("section")).distinct()

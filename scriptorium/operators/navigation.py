@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import evidence_id, normalized_status, section_order
-from scriptorium.operators.tables import first_sections, latest
+from scriptorium.functions.text import evidence_id, section_order
+from scriptorium.operators.tables import current_errata, first_sections, latest
 from scriptorium.schema import ERRATA_STATUSES
 
 
@@ -88,6 +88,7 @@ def hits_by_section(hits: DataFrame) -> DataFrame:
 
 
 def errata_by_section(errata: DataFrame, statuses: tuple[str, ...] = ERRATA_STATUSES) -> DataFrame:
-    """(evidence, errata): errata of the given statuses by ``document#section``; blank sections are dropped."""
-    kept = errata.withColumn("status", normalized_status("status")).withColumn("section", F.trim("section")).where(F.col("status").isin(*statuses) & (F.col("section") != ""))
+    """(evidence, errata): errata of the given statuses by ``document#section``; blank sections are dropped. Of an
+    erratum that was sent again only the current row counts."""
+    kept = current_errata(errata).withColumn("section", F.trim("section")).where(F.col("status").isin(*statuses) & (F.col("section") != ""))
     return kept.groupBy(evidence_id("rfc_number", "section").alias("evidence")).agg(F.array_sort(F.collect_list(F.struct("errata_id", "status", "corrected_text"))).alias("errata"))

@@ -1,23 +1,24 @@
 """Parsing of documents into sections, keyword hits and grammar blocks.
 
-Line-wise operators explode the lines of each row and use windows within that row, so a long document never meets
-another one in a group. Only title, header fields and front matter, which scan a text as a whole, run in Python, on
-Arrow batches.
+Every operator works within one row: sections and grammar blocks are cut from the array of a text's lines by
+higher-order functions, so nothing is shuffled, and a long document meets no other one in a group. Only title, header
+fields and front matter, which scan a text as a whole, run in Python, on Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import keywords, plain_lines
 from scriptorium.schema import GRAMMAR_STYLES
 
-# Patterns of headings, grammar rules and page lines.
+# Patterns of headings, grammar rules and page lines. Digits and word characters are spelt out so that
+# Java, Python and the twins' engine, whose \\d and \\w differ beyond ASCII, match alike.
 HEADING = r"^([0-9]+(?:\.[0-9]+)*|Appendix\s+[A-Z](?:\.[0-9]+)*)\.\s+(.+?)$"
 RULE = r"^\s*([a-zA-Z][a-zA-Z0-9-]*)\s*=\s*/?\s*"
 PAGE_HEADER = r"(?m)^[^\S\r\n]*RFC[^\S\r\n]+[0-9]+[^\S\r\n]+.*$"
@@ -88,16 +89,15 @@ def numbers_of(value: str | None) -> list[int]:
     return out
 
 
-def authors_of(text: str) -> list[str]:
+def authors_of(fields: dict[str, str]) -> list[str]:
     """P06."""
-    fields = header_fields(text)
     value = fields.get("Authors", fields.get("Author", ""))
     return [a.strip() for a in value.split("\n")[0].split(",") if a.strip()]
 
 
-def category_of(text: str) -> str | None:
+def category_of(fields: dict[str, str]) -> str | None:
     """P04."""
-    return header_fields(text).get("Category", "").split("\n")[0].strip() or None
+    return fields.get("Category", "").split("\n")[0].strip() or None
 
 
 def without_front_matter(text: str) -> str:
@@ -130,7 +130,7 @@ def with_header(files: DataFrame) -> DataFrame:
             for text, n in zip(batch.column(at).to_pylist(), batch.column(number).to_pylist()):
                 plain = (text or "").replace("\0", "").replace("\r\n", "\n")
                 fields = header_fields(plain)
-                rows.append((title_of(plain, n), category_of(plain), fields.get("Date"), fields.get("ISSN"), numbers_of(fields.get("Updates")), numbers_of(fields.get("Obsoletes")), authors_of(plain), without_front_matter(plain)))
+                rows.append((title_of(plain, n), category_of(fields), fields.get("Date"), fields.get("ISSN"), numbers_of(fields.get("Updates")), numbers_of(fields.get("Obsoletes")), authors_of(fields), without_front_matter(plain)))
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.string()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], [*batch.schema.names, *(c.split()[0] for c in HEADER.split(", "))])
@@ -158,17 +158,41 @@ def lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.select(*keep, F.posexplode(plain_lines(text)).alias("pos", "line"))
 
 
+def runs_from(df: DataFrame, text: Column, marks: dict[int, Callable[[Column], Column]], *keep: str) -> DataFrame:
+    """(keep, lines, runs): the lines of a text, and for each line with a mark its index ``at``, its ``kind`` and the index
+    ``until`` of the next such line, or of the end. The first mark whose test a line passes is its kind."""
+
+    def kind(line: Column) -> Column:
+        found: Column | None = None
+        for number, test in marks.items():
+            found = F.when(test(line), number) if found is None else found.when(test(line), number)
+        assert found is not None
+        return found
+
+    cut = df.select(*keep, plain_lines(text).alias("lines"))
+    marked = cut.withColumn("marks", F.filter(F.transform("lines", lambda line, at: F.struct(at.alias("at"), kind(line).alias("kind"))), lambda m: m["kind"].isNotNull()))
+    ahead = F.slice("marks", 2, F.greatest(F.size("marks"), F.lit(1)))
+    runs = F.zip_with("marks", ahead, lambda m, n: F.struct(m["at"].alias("at"), m["kind"].alias("kind"), n["at"].alias("until")))
+    return marked.withColumn("runs", F.filter(runs, lambda r: r["at"].isNotNull())).select(*keep, "lines", "runs")
+
+
+def run_text(run: Column, first: Column) -> Column:
+    """The lines of a run joined, ``first`` in place of its first one."""
+    rest = F.slice("lines", run["at"] + 2, F.coalesce(run["until"], F.size("lines")) - run["at"] - 1)
+    return F.array_join(F.concat(F.array(first), rest), "\n")
+
+
 def split_sections(documents: DataFrame, key: str, text: str = "body") -> DataFrame:
     """(key, ordinal, section, heading, text): runs of lines from one heading to the next; text before the first
     heading and sections without text are dropped. The heading is the first line of the text."""
-    order = Window.partitionBy(key).orderBy("pos")
-    marked = lines(documents, key, text=text).withColumn("is_heading", F.col("line").rlike(HEADING))
-    numbered = marked.withColumn("ordinal", F.sum(F.col("is_heading").cast("int")).over(order)).where("ordinal > 0")
-    head = lambda group: F.max(F.when(F.col("is_heading"), F.regexp_extract("line", HEADING, group)))
-    shown = F.when(F.col("is_heading"), F.regexp_extract("line", HEADING, 2)).otherwise(F.col("line"))
-    grouped = numbered.groupBy(key, "ordinal").agg(head(1).alias("section"), head(2).alias("heading"), F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown")))).alias("x"))
-    joined = grouped.withColumn("text", F.regexp_replace(F.array_join(F.transform("x", lambda x: x["shown"]), "\n"), r"\A\s+|\s+\z", ""))
-    return joined.where("text != ''").select(key, F.col("ordinal").cast("int").alias("ordinal"), "section", "heading", "text")
+
+    def section(run: Column) -> Column:
+        head = lambda group: F.regexp_extract(F.get("lines", run["at"]), HEADING, group)
+        return F.struct(head(1).alias("section"), head(2).alias("heading"), F.regexp_replace(run_text(run, head(2)), r"\A\s+|\s+\z", "").alias("text"))
+
+    found = runs_from(documents, F.col(text), {1: lambda line: line.rlike(HEADING)}, key)
+    each = found.select(key, F.posexplode(F.transform("runs", section)).alias("ordinal", "s"))
+    return each.where("s.text != ''").select(key, (F.col("ordinal") + 1).cast("int").alias("ordinal"), "s.section", "s.heading", "s.text")
 
 
 def keyword_hits(sections: DataFrame) -> DataFrame:
@@ -179,18 +203,13 @@ def keyword_hits(sections: DataFrame) -> DataFrame:
 def grammar_blocks(sections: DataFrame) -> DataFrame:
     """(section_id, rfc_number, section, block_no, abnf_text, rule_names): each rule line and the indented,
     non-blank lines after it that are no rule."""
-    order = Window.partitionBy("section_id").orderBy("pos")
-    marked = lines(sections.where(F.col("text").rlike("(?m)" + RULE)), F.col("id").alias("section_id"), "rfc_number", "section").withColumn("rule", F.col("line").rlike(RULE))
-    broken = ~F.col("rule") & ((F.trim("line") == "") | ~F.col("line").rlike(r"^\s"))
-    run = (
-        marked.withColumn("block_no", F.sum(F.col("rule").cast("int")).over(order).cast("int"))
-        .withColumn("begun", F.max(F.when(F.col("rule"), F.col("pos"))).over(order))
-        .withColumn("broke", F.max(F.when(broken, F.col("pos")).otherwise(-1)).over(order))
-        .where("block_no > 0 and broke < begun")
-    )
-    grouped = run.groupBy("section_id", "rfc_number", "section", "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    joined = grouped.withColumn("abnf_text", F.array_join(F.transform("x", lambda x: x["line"]), "\n"))
-    return joined.select("section_id", "rfc_number", "section", "block_no", "abnf_text", rule_names("abnf_text").alias("rule_names"))
+    rule, ending = 1, 2
+    marks = {rule: lambda line: line.rlike(RULE), ending: lambda line: (F.trim(line) == "") | ~line.rlike(r"^\s")}
+    held = sections.where(F.col("text").rlike("(?m)" + RULE)).withColumnRenamed("id", "section_id")
+    found = runs_from(held, F.col("text"), marks, "section_id", "rfc_number", "section")
+    blocks = F.transform(F.filter("runs", lambda r: r["kind"] == rule), lambda r: run_text(r, F.get("lines", r["at"])))
+    each = found.select("section_id", "rfc_number", "section", F.posexplode(blocks).alias("block_no", "abnf_text"))
+    return each.select("section_id", "rfc_number", "section", (F.col("block_no") + 1).cast("int").alias("block_no"), "abnf_text", rule_names("abnf_text").alias("rule_names"))
 
 
 def rule_names(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import query_terms
 from scriptorium.operators.relations import status
-from scriptorium.operators.retrieval import clamp, top
+from scriptorium.operators.retrieval import clamp, in_place, top
 
 # Weights of the signals.
 MENTIONED, SECTION_NAMED, PROTOCOL, HEADING, OBSOLETED, SUCCESSOR = 0.12, 0.10, 0.04, 0.05, -0.10, 0.06
@@ -45,5 +45,5 @@ def scored(candidates: DataFrame, planned: DataFrame, sections: DataFrame, relat
 def rerank(candidates: DataFrame, planned: DataFrame, sections: DataFrame, related: DataFrame, limit: int = 10) -> DataFrame:
     """Q09: the best ``limit`` of each question by score, document, section and id."""
     rows = scored(candidates, planned, sections, related)
-    best = top(rows, clamp(limit), F.col("score").desc(), F.col("rfc_number"), F.col("section"), F.col("id"))
+    best = top(rows, clamp(limit), F.col("score").desc(), *in_place())
     return best.select("query_id", "id", "rfc_number", "section", "heading", "rrf", "score", "category", "rank")

@@ -1,9 +1,11 @@
-"""From questions to verified answers, with an injected model."""
+"""From questions to verified answers, with an injected model, and what is told about the way."""
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from functools import reduce
 
 import pyarrow as pa
@@ -25,10 +27,32 @@ Every claim ends with a citation in brackets, such as [9110#9.3.1].
 Reply with JSON only: {"answer": "...", "citations": [{"evidenceId": "9110#9.3.1", "relevantText": "words quoted from the evidence"}]}"""
 SUCCESSOR_RULE = "Some evidence is from obsoleted documents; prefer the successor unless the question is historical."
 
-Model = Callable[[str, str], str]
+Model = Callable[..., str]  # (system, prompt), and the most tokens of the reply if it takes a third argument
 
 
-def search(questions: DataFrame, tables: dict[str, DataFrame], limit: int = 10, keyword: str | None = None, planner: bool = True, reranker: bool = True, vector_only: bool = False, include_obsolete: bool = False) -> DataFrame:
+def planned_questions(questions: DataFrame, planner: bool = True) -> DataFrame:
+    """The questions with their plan, which is empty without the planner."""
+    if planner:
+        return N.plan(questions)
+    return N.plan(questions.withColumn("query", F.lit(""))).drop("query").join(questions.select("query_id", "query"), "query_id")
+
+
+def retrieval_info(questions: DataFrame, planner: bool = True, keyword: str | None = None, statuses: tuple[str, ...] = ("verified",), include_errata: bool = True) -> DataFrame:
+    """(query_id, retrieval): strategy, filters and, with the planner, the plan of each question. The keyword given
+    goes before the one that the plan suggests."""
+    given = F.lit((keyword or "").strip() or None).cast("string")
+    rows = N.plan(questions)
+    plan = F.struct(
+        "rfc_numbers", "section_references", "protocol_numbers", "suggested_keyword", F.col("grammar_intent").alias("has_grammar_intent"), "include_obsolete", F.col("needs_current").alias("needs_current_spec"), "rationale"
+    )
+    chosen = F.coalesce(given, F.col("suggested_keyword")) if planner else given
+    filters = F.struct(chosen.alias("normative_keyword"), F.lit(include_errata).alias("include_errata"), F.lit(",".join(statuses)).alias("errata_status"))
+    # Names of the strategies.
+    strategy = F.lit("query-planner" if planner else "hybrid-search")
+    return rows.select("query_id", F.struct(strategy.alias("strategy"), filters.alias("filters"), (plan if planner else F.lit(None).cast(rows.select(plan).schema[0].dataType)).alias("plan")).alias("retrieval"))
+
+
+def search(questions: DataFrame, tables: dict[str, DataFrame], limit: int = 10, keyword: str | None = None, planner: bool = True, reranker: bool = True, vector_only: bool = False, include_obsolete: bool = False, width: int = 64, factor: int = Q.CANDIDATE_FACTOR, rrf: int = Q.RRF) -> DataFrame:
     """Q12: plan, retrieve, rerank, put named sections first, add the status; (query_id, id, rfc_number, section,
     heading, excerpt, score, rank, category, obsoleted_by, updated_by).
 
@@ -36,16 +60,13 @@ def search(questions: DataFrame, tables: dict[str, DataFrame], limit: int = 10,
     filter comes before ranking, so the questions of each keyword (the plan knows three, or none) are retrieved apart.
     """
     limit = Q.clamp(limit)
-    planned = N.plan(questions if planner else questions.withColumn("query", F.lit("")))
-    if not planner:
-        planned = planned.drop("query").join(questions.select("query_id", "query"), "query_id")
-    planned = stage_table(planned.withColumn("include_obsolete", F.col("include_obsolete") | F.lit(include_obsolete)))
+    planned = stage_table(planned_questions(questions, planner).withColumn("include_obsolete", F.col("include_obsolete") | F.lit(include_obsolete)))
     sections, hits = tables["rfc_sections"], tables["normative_occurrences"]
     related = relations(tables["indexed_rfcs"])
     wanted = (keyword or "").strip() or None
     if vector_only:
-        vectors = sections.where("embedding is not null").select("id", F.col("embedding").alias("vector"))
-        found = Q.vector_search(planned, vectors, limit).select("query_id", "id", "score", "rank").join(sections.select("id", "rfc_number", "section"), "id")
+        vectors = sections.where("embedding is not null").select("id", "rfc_number", "section", F.col("embedding").alias("vector"))
+        found = Q.vector_search(planned, vectors, limit, width).select("query_id", "id", "rfc_number", "section", "score", "rank")
     else:
         groups = [(wanted, planned)]
         if wanted is None and planner:
@@ -55,12 +76,14 @@ def search(questions: DataFrame, tables: dict[str, DataFrame], limit: int = 10,
         for word, asked in groups:
             kept = Q.with_keyword(sections, hits, word)
             vectors = kept.where("embedding is not null").select("id", F.col("embedding").alias("vector"))
-            parts.append(Q.wide_candidates(asked, Q.postings(kept.select("id", "text"), questions=asked), vectors, limit))
+            index = Q.with_keyword(tables["postings"], hits, word) if "postings" in tables else Q.postings(kept, questions=asked)
+            parts.append(Q.wide_candidates(asked, index, vectors, limit, width, factor, rrf))
         fused = reduce(DataFrame.unionByName, parts)
         if reranker:
             found = R.rerank(fused, planned, sections, related, limit).select("query_id", "id", "rfc_number", "section", "score", "rank")
         else:
-            found = Q.top(fused, limit, F.col("rrf").desc(), F.col("id")).withColumnRenamed("rrf", "score").join(sections.select("id", "rfc_number", "section"), "id")
+            placed = fused.join(sections.select("id", "rfc_number", "section"), "id")
+            found = Q.top(placed, limit, F.col("rrf").desc(), *Q.in_place()).withColumnRenamed("rrf", "score")
     named = planned.select("query_id", F.posexplode("section_references").alias("at", "r")).select("query_id", "at", "r.rfc_number", "r.section")
     merged = Q.merge_referenced(found, named, sections, limit)
     shown = merged.join(sections.select("id", "heading", F.left("text", F.lit(500)).alias("excerpt")), "id")
@@ -77,10 +100,11 @@ def user_prompt(pack: DataFrame, questions: DataFrame, notes: DataFrame) -> Data
     return joined.select("query_id", system.alias("system"), F.when(F.col("body").isNotNull(), F.concat_ws("\n", F.lit("<evidence>"), "notes", "body", F.lit("</evidence>"), F.concat(F.lit("Question: "), "query"))).alias("prompt"))
 
 
-def generate(prompts: DataFrame, model: Model) -> DataFrame:
+def generate(prompts: DataFrame, model: Model, tokens: int = 1_024) -> DataFrame:
     """(answer_id, response): without evidence the fixed no-answer and no call; malformed JSON is asked again once,
-    then is a failure."""
+    then is a failure. A model with a third parameter is told the most ``tokens`` of a reply."""
     kind = dict(prompts.dtypes)["query_id"]
+    more = (tokens,) if len(inspect.signature(model).parameters) > 2 else ()
 
     def valid(reply: str) -> bool:
         try:
@@ -96,9 +120,9 @@ def generate(prompts: DataFrame, model: Model) -> DataFrame:
                     replies.append(json.dumps({"answer": NO_ANSWER, "citations": []}))
                     failures.append(None)
                     continue
-                reply = model(system, prompt)
+                reply = model(system, prompt, *more)
                 if not valid(reply):
-                    reply = model(system, prompt + "\nYour last reply wasn't valid JSON. Reply with valid JSON only.")
+                    reply = model(system, prompt + "\nYour last reply wasn't valid JSON. Reply with valid JSON only.", *more)
                 failures.append(None if valid(reply) else "malformed response")
                 replies.append(reply if valid(reply) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string()), pa.array(failures, pa.string())], ["answer_id", "response", "failure"])
@@ -106,14 +130,21 @@ def generate(prompts: DataFrame, model: Model) -> DataFrame:
     return prompts.mapInArrow(run, f"answer_id {kind}, response string, failure string")
 
 
-def ask(questions: DataFrame, tables: dict[str, DataFrame], model: Model, limit: int = 20, chars: int = E.BUDGET, statuses: tuple[str, ...] = ("verified",), **options: object) -> dict[str, DataFrame]:
-    """Answers, citations, claims and packs of the questions."""
-    found = search(questions, tables, limit, **options)
+def ask(
+    questions: DataFrame, tables: dict[str, DataFrame], model: Model, limit: int = 20, chars: int = E.BUDGET, statuses: tuple[str, ...] = ("verified",), most: int = E.PER_DOCUMENT, tokens: int = 1_024, include_errata: bool = True, **options: object
+) -> dict[str, DataFrame]:
+    """Answers, citations, claims, packs, retrieval info (A12) and traces (S25) of the questions."""
+    began = [datetime.now(timezone.utc)]
+    found = stage_table(search(questions, tables, limit, **options))
+    began.append(datetime.now(timezone.utc))
     sections = tables["rfc_sections"]
     results = found.join(sections.select("id", "text"), "id").select("query_id", "id", "rfc_number", "section", "heading", "text", "score")
-    pack = stage_table(E.assemble(results, sections, tables["normative_occurrences"], tables["rfc_errata"], statuses, chars))
+    errata = tables["rfc_errata"] if include_errata else tables["rfc_errata"].limit(0)
+    pack = stage_table(E.assemble(results, sections, tables["normative_occurrences"], errata, statuses, chars, most))
     notes = E.relation_notes(pack, relations(tables["indexed_rfcs"]), N.plan(questions))
-    responses = stage_table(generate(user_prompt(pack, questions, notes), model))
+    began.append(datetime.now(timezone.utc))
+    responses = stage_table(generate(user_prompt(pack, questions, notes), model, tokens))
+    began.append(datetime.now(timezone.utc))
     parsed = A.parse_responses(responses)
     evidence = pack.select(F.col("query_id").alias("answer_id"), "evidence", "text")
     cited = parsed.where("evidence is not null").select("answer_id", "place", "evidence", "quote")
@@ -121,4 +152,32 @@ def ask(questions: DataFrame, tables: dict[str, DataFrame], model: Model, limit:
     answers = A.demoted(parsed.select("answer_id", "answer").distinct(), kept, NO_ANSWER).join(responses.select("answer_id", "failure"), "answer_id")
     own = pack.select("evidence", "text").distinct()
     claims = A.claim_status(answers.where("not no_answer").select("answer_id", "answer"), kept, own)
-    return {"answers": answers, "citations": kept, "claims": claims, "support": A.support_rate(claims, answers), "pack": pack, "totals": E.pack_totals(pack), "errata": A.errata_warnings(pack, kept)}
+    warnings = A.errata_warnings(pack, kept)
+    budget = E.budget_warnings(pack, chars)
+    planner, keyword = bool(options.get("planner", True)), options.get("keyword")
+    return {
+        "answers": answers,
+        "citations": kept,
+        "claims": claims,
+        "support": A.support_rate(claims, answers),
+        "pack": pack,
+        "totals": E.pack_totals(pack),
+        "errata": warnings,
+        "budget": budget,
+        "retrieval": retrieval_info(questions, planner, keyword, statuses, include_errata),
+        "traces": traces(questions, found, responses, warnings.select("query_id").unionByName(budget.select("query_id")), began),
+    }
+
+
+def traces(questions: DataFrame, found: DataFrame, responses: DataFrame, warned: DataFrame, began: list[datetime]) -> DataFrame:
+    """One trace a question: its candidates' documents, the stages of its batch, whether an answer came and how many
+    warnings it has."""
+    stages = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit((b - a).total_seconds() * 1000).alias("durationMs")) for name, a, b in zip(("search", "assemble", "generate"), began, began[1:])))
+    candidates = found.groupBy("query_id").agg(F.array_sort(F.collect_set("rfc_number")).alias("candidateRfcNumbers"))
+    answered = responses.select(F.col("answer_id").alias("query_id"), F.col("failure").isNull().alias("answerGenerated"))
+    counted = warned.groupBy("query_id").agg(F.count("*").cast("int").alias("warningCount"))
+    rows = questions.select("query_id", "query").join(candidates, "query_id", "left").join(answered, "query_id", "left").join(counted, "query_id", "left")
+    none = F.expr("cast(array() as array<int>)")
+    return rows.select(
+        F.expr("uuid()").alias("traceId"), F.col("query").alias("question"), F.lit(began[-1]).alias("timestampUtc"), stages.alias("stages"), F.coalesce("candidateRfcNumbers", none).alias("candidateRfcNumbers"), F.coalesce("answerGenerated", F.lit(False)).alias("answerGenerated"), F.coalesce("warningCount", F.lit(0)).alias("warningCount")
+    )

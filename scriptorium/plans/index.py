@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +11,11 @@ from scriptorium.config import Options
 from scriptorium.operators import embedding as E
 from scriptorium.operators import parsing as P
 from scriptorium.operators import tables as T
+from scriptorium.operators.retrieval import postings
 from scriptorium.sources.files import discover, with_xml
 from scriptorium.sources.json_files import read_errata
 from scriptorium.sources.store import Store
-from scriptorium.session import stage_table
+from scriptorium.session import default_parallelism, stage_table
 
 PARSER_VERSION = "1"
 
@@ -44,6 +45,8 @@ def index_run(spark: SparkSession, options: Options, provider: E.Provider | None
     full run, since old vectors can't be searched with new ones.
     """
     options.validate()
+    if provider is None and options.embedding_model != "none":
+        raise ValueError("no embedding provider; set embedding_model to none to index for lexical search alone")
     store = Store(spark, options.store_path)
     last = store.manifest().orderBy(F.col("created_at").desc()).first()
     if last and last["embedding_dimensions"] not in (None, options.embedding_dimensions):
@@ -55,38 +58,42 @@ def index_run(spark: SparkSession, options: Options, provider: E.Provider | None
             raise LookupError(f"document {only} is not in the mirror")
     stored = store.table("indexed_rfcs")
     fresh = stage_table(T.changed(files, stored, force))
-    gone = fresh.select("rfc_number")
-    tables: dict[str, DataFrame] = {}
+    new: dict[str, DataFrame] = {}
+    gone: dict[str, DataFrame] = {}
+    counted = E.counters(spark)
     if not fresh.isEmpty():
-        text_docs, text_sections = parse_text(fresh.where("not is_xml").drop("is_xml"))
-        xml_docs, xml_sections = parse_xml(fresh.where("is_xml").drop("is_xml"))
+        gone["rfc_number"] = fresh.select("rfc_number")
+        spread = fresh.repartition(max(options.indexing_parallelism, default_parallelism(spark)), "rfc_number")
+        text_docs, text_sections = parse_text(spread.where("not is_xml").drop("is_xml"))
+        xml_docs, xml_sections = parse_xml(spread.where("is_xml").drop("is_xml"))
         documents, sections = text_docs.unionByName(xml_docs), text_sections.unionByName(xml_sections)
         sections = sections.withColumn("id", F.sha2(F.concat_ws("#", "rfc_number", "ordinal"), 256)).withColumn("url", F.concat(F.lit("rfc:"), F.col("rfc_number")))
         if provider is None:
             sections = sections.withColumn("embedding", F.lit(None).cast("array<float>"))
         else:
-            vectors = E.embed(sections, provider, options.embedding_dimensions, batch=options.embedding_batch_size, concurrency=options.embedding_concurrency)
+            sections = stage_table(sections)
+            vectors = E.embed(sections, provider, options.embedding_dimensions, batch=options.embedding_batch_size, concurrency=options.embedding_concurrency, counted=counted)
             sections = sections.join(vectors, "id")
         sections = stage_table(sections)
         blocks = P.grammar_blocks(sections).withColumn("id", F.sha2(F.concat_ws("#", "section_id", "block_no"), 256))
         hits = P.keyword_hits(sections).withColumn("id", F.sha2(F.concat_ws("#", "section_id", "line_offset", "keyword"), 256))
         counts = sections.groupBy("rfc_number").agg(F.count("*").alias("section_count"))
         documents = documents.join(counts, "rfc_number", "left").join(P.grammar_styles(sections).select("rfc_number", "grammar_style"), "rfc_number", "left").withColumn("section_count", F.coalesce("section_count", F.lit(0))).withColumn("grammar_style", F.coalesce("grammar_style", F.lit("none"))).withColumn("indexed_at_utc", F.current_timestamp())
-        for name, new in (("rfc_sections", sections), ("normative_occurrences", hits), ("rfc_abnf_blocks", blocks), ("indexed_rfcs", documents)):
-            tables[name] = T.delete_documents(store.table(name), gone).unionByName(new.select(*store.table(name).columns))
+        new |= {"rfc_sections": sections, "normative_occurrences": hits, "rfc_abnf_blocks": blocks, "indexed_rfcs": documents, "postings": postings(sections)}
     if options.errata_path:
-        new = T.current_errata(read_errata(spark, options.errata_path))
-        tables["rfc_errata"] = T.upsert(store.table("rfc_errata"), new, "errata_id")
-    at = store.write(tables)
-    base = f"{store.path}/{at}"
-    documents, sections = (spark.read.parquet(f"{base}/{name}").count() for name in ("indexed_rfcs", "rfc_sections"))
-    store.publish(at, mirror_path=options.mirror_path, parser_type=options.parser, parser_version=PARSER_VERSION, embedding_model=options.embedding_model, embedding_dimensions=options.embedding_dimensions, embedding_batch_size=options.embedding_batch_size, rfc_count=documents, section_count=sections)
-    return {"indexed": fresh.count(), "documents": documents, "sections": sections}
+        known = store.table("rfc_errata")
+        read = T.current_errata(read_errata(spark, options.errata_path))
+        changed = stage_table(read.join(known, (read["errata_id"] == known["errata_id"]) & reduce(lambda a, b: a & b, (read[c].eqNullSafe(known[c]) for c in read.columns)), "left_anti"))
+        if not changed.isEmpty():
+            new["rfc_errata"], gone["errata_id"] = changed, changed.select("errata_id")
+    layout = store.write(new, gone) if new else store.layout()
+    documents, sections = (store.table(name, layout).count() for name in ("indexed_rfcs", "rfc_sections"))
+    model = {"embedding_provider": "none" if provider is None else "injected", "embedding_model": options.embedding_model}
+    store.publish(layout, mirror_path=options.mirror_path, parser_type=options.parser, parser_version=PARSER_VERSION, **model, embedding_dimensions=options.embedding_dimensions, embedding_batch_size=options.embedding_batch_size, rfc_count=documents, section_count=sections)
+    return {"indexed": fresh.count(), "documents": documents, "sections": sections, **{f"embedding_{name}": counter.value for name, counter in counted.items()}}
 
 
 def reset_embeddings(spark: SparkSession, options: Options, provider: E.Provider) -> dict:
     """Every document is indexed again, changed or not."""
     return index_run(spark, options, provider, force=True)
 
-
-Run = Callable[[], dict]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.vectors import is_usable
+from scriptorium.operators.retrieval import stored_postings
 from scriptorium.operators.tables import current_documents, latest
+from scriptorium.session import stage_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,7 +43,28 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return sections(spark, folder).where(is_usable("embedding")).select("id", F.col("embedding").alias("vector"))
+    return sections(spark, folder).where(is_usable("embedding")).select("id", "rfc_number", "section", F.col("embedding").alias("vector"))
+
+
+def postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored inverted table of a folder's sections: written to the shared folder when first asked for and read from
+    then on, by this application and for these files only."""
+    context = spark.sparkContext
+    rows = sections(spark, folder)
+    files = sorted(rows.inputFiles())
+    conf = context._jsc.hadoopConfiguration()
+
+    def stamp(file: str) -> str:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        found = path.getFileSystem(conf).getFileStatus(path)
+        return f"{file} {found.getLen()} {found.getModificationTime()}"
+
+    name = hashlib.sha256("\n".join(map(stamp, files)).encode()).hexdigest()
+    at = f"{stage_folder(spark)}/postings-{name}"
+    done = context._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        stored_postings(rows).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

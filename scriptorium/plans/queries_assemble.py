@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import evidence_id
 from scriptorium.operators import evidence as E
 from scriptorium.operators import verification as A
-from scriptorium.operators.planner import plan
-from scriptorium.operators.relations import relations
+from scriptorium.operators.relations import obsolete_documents, relations
+from scriptorium.operators.tables import current_errata, first_sections
+from scriptorium.plans import evaluate
 from scriptorium.plans import inputs as I
 from scriptorium.plans.register import Register
-from scriptorium.plans.sql import CUR, FIRST, RELATIONS
+from scriptorium.plans.sql import CUR, EDGES, ERRATA, FIRST, RELATIONS
 
 register = Register()
 QUERIES, SQL = register.queries, register.sql
@@ -94,9 +95,9 @@ def e11(spark: SparkSession, folder: str) -> DataFrame:
     return E.relation_notes(rows, relations(I.documents(spark, folder)), planned)
 
 
-@register("e13_pack_with_errata", f"""with {PACK_SQL} select query_id, p.id, rfc_number || '#' || section as evidence,
+@register("e13_pack_with_errata", f"""with {PACK_SQL}, {ERRATA} select query_id, p.id, rfc_number || '#' || section as evidence,
     (select count(*) from (select distinct line_offset, keyword from normative_occurrences n where n.section_id = p.id))::int as hits,
-    (select count(*) from rfc_errata e where e.rfc_number = p.rfc_number and trim(e.section) = p.section and lower(regexp_replace(trim(e.status), '[ -]', '_', 'g')) = 'verified')::int as errata from pack p""")
+    (select count(*) from errata e where e.rfc_number = p.rfc_number and trim(e.section) = p.section and e.status = 'verified')::int as errata from pack p""")
 def e13(spark: SparkSession, folder: str) -> DataFrame:
     """The assembled pack with its keyword hits and verified errata."""
     rows = E.assemble(results(spark, folder), I.sections(spark, folder), I.hits(spark, folder), I.errata(spark, folder))
@@ -104,68 +105,102 @@ def e13(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query_id", "id", "evidence", size("hits").alias("hits"), size("errata").alias("errata"))
 
 
-# Answers for verification: each erratum is an answer that quotes its original text from the section it names.
-SIMPLE = r"[.!?]\s+"
+# Answers for verification: each current erratum is an answer of three sentences. The first holds its original text, with
+# marks that could end a sentence blanked, an abbreviation before a capital, and a citation of the section it names; the
+# second cites nothing; the third, with another abbreviation, cites what isn't quoted. So the twins know the claims.
 EVIDENCE_SQL = f"{FIRST}, evidence as (select rfc_number || '#' || section as evidence, text from first_sec where section is not null and text is not null)"
-ERR_SQL = "err as (select errata_id, any_value(rfc_number) rfc_number, any_value(trim(section)) section, any_value(original_text) original_text, any_value(corrected_text) corrected_text from rfc_errata where errata_id is not null and section is not null group by errata_id having count(*) = 1)"
+ERR_SQL = f"{ERRATA}, err as (select errata_id, rfc_number, trim(section) as section, rfc_number || '#' || trim(section) as cited, original_text, corrected_text from errata where section is not null and rfc_number is not null)"
+NO_MARKS = "[.!?\"'()\\[\\]\\s]+"
+HOLDS_SQL = "trim(original_text) <> '' and exists (select 1 from evidence v where v.evidence = cited and contains(v.text, original_text))"
+HOLDS_CUT_SQL = "trim(original_text) <> '' and exists (select 1 from evidence v where v.evidence = cited and contains(v.text, regexp_replace(original_text, '[.!? \\t]+$', '')))"
+CITABLE_SQL = "regexp_matches(cited, '^[0-9]+#[0-9.]+$')"
 
 
 def evidence_rows(spark: SparkSession, folder: str) -> DataFrame:
-    from scriptorium.operators.tables import first_sections
-
     return first_sections(I.sections(spark, folder)).where("section is not null and text is not null").select(evidence_id("rfc_number", "section").alias("evidence"), "text")
 
 
 def answer_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(answers, citations) of the errata that were sent once."""
-    rows = I.errata(spark, folder).where("errata_id is not null and section is not null")
-    once = rows.groupBy("errata_id").count().where("count = 1").select("errata_id")
-    kept = rows.join(once, "errata_id", "left_semi").withColumn("section", F.trim("section"))
+    """(answers, citations) of the current errata that name a section."""
+    kept = current_errata(I.errata(spark, folder)).where("section is not null and rfc_number is not null").withColumn("section", F.trim("section"))
     cited = evidence_id("rfc_number", "section")
-    answers = kept.select(F.col("errata_id").alias("answer_id"), F.concat(F.coalesce("original_text", F.lit("")), F.lit(" ["), cited, F.lit("]. "), F.coalesce("corrected_text", F.lit(""))).alias("answer"))
+    bare = F.regexp_replace(F.coalesce("original_text", F.lit("")), NO_MARKS, " ")
+    text = F.concat(F.lit("It says so, e.g. Here "), bare, F.lit(" ["), cited, F.lit("]. Nobody cites this! See approx. Numbers [9#9]"))
+    answers = kept.select(F.col("errata_id").alias("answer_id"), text.alias("answer"))
     citations = kept.select(F.col("errata_id").alias("answer_id"), F.lit(0).alias("place"), cited.alias("evidence"), F.col("original_text").alias("quote"))
     return answers, citations
 
 
-@register("a05_grounded_citations", f"with {EVIDENCE_SQL}, {ERR_SQL} select errata_id as answer_id, e.rfc_number || '#' || e.section as evidence from err e join evidence v on v.evidence = e.rfc_number || '#' || e.section where trim(original_text) <> '' and contains(v.text, original_text)")
+@register("a04_responses", f"with {EVIDENCE_SQL}, {ERR_SQL} select errata_id as answer_id, case when errata_id % 3 = 0 then null else 'Answer ' || errata_id end as answer, case when errata_id % 3 > 0 then cited end as evidence, case when errata_id % 3 > 0 then original_text end as quote, errata_id % 3 > 0 and coalesce({HOLDS_SQL}, false) as grounded from err")
+def a04(spark: SparkSession, folder: str) -> DataFrame:
+    """A reply in JSON for each current erratum, a third of them malformed, and whether its citation is grounded."""
+    cited = answer_rows(spark, folder)[1]
+    reply = F.to_json(F.struct(F.concat(F.lit("Answer "), "answer_id").alias("answer"), F.array(F.struct(F.col("evidence").alias("evidenceId"), F.col("quote").alias("relevantText"))).alias("citations")))
+    parsed = A.parse_responses(cited.select("answer_id", F.when(F.col("answer_id") % 3 == 0, "{not json").otherwise(reply).alias("response")))
+    kept = A.grounded(parsed.where("evidence is not null"), evidence_rows(spark, folder)).select("answer_id", F.lit(True).alias("grounded"))
+    return parsed.join(kept, "answer_id", "left").select("answer_id", "answer", "evidence", "quote", F.coalesce("grounded", F.lit(False)).alias("grounded"))
+
+
+@register("a05_grounded_citations", f"with {EVIDENCE_SQL}, {ERR_SQL} select errata_id as answer_id, cited as evidence from err where {HOLDS_SQL}")
 def a05(spark: SparkSession, folder: str) -> DataFrame:
     return A.grounded(answer_rows(spark, folder)[1], evidence_rows(spark, folder)).select("answer_id", "evidence")
 
 
-@register("a06_demoted", f"with {EVIDENCE_SQL}, {ERR_SQL} select errata_id as answer_id, not exists (select 1 from evidence v where v.evidence = e.rfc_number || '#' || e.section and trim(original_text) <> '' and contains(v.text, original_text)) as no_answer from err e")
+@register("a06_demoted", f"with {EVIDENCE_SQL}, {ERR_SQL} select errata_id as answer_id, not coalesce({HOLDS_SQL}, false) as no_answer from err")
 def a06(spark: SparkSession, folder: str) -> DataFrame:
     answers, citations = answer_rows(spark, folder)
     return A.demoted(answers, A.grounded(citations, evidence_rows(spark, folder))).select("answer_id", "no_answer")
 
 
-CLAIMS_SQL = f"""{EVIDENCE_SQL}, {ERR_SQL}, ans as (select errata_id as answer_id, e.rfc_number || '#' || e.section as cited, coalesce(original_text, '') || ' [' || e.rfc_number || '#' || e.section || ']. ' || coalesce(corrected_text, '') as answer, original_text from err e),
-    parts as (select answer_id, cited, original_text, trim(unnest(regexp_split_to_array(answer, '{SIMPLE}'))) claim, unnest(range(len(regexp_split_to_array(answer, '{SIMPLE}')))) claim_no from ans),
-    statuses as (select answer_id, claim_no::int as claim_no, case when not regexp_matches(claim, '\\[[0-9]+#[0-9.]+\\]') then 'uncited'
-        when list_contains(regexp_extract_all(claim, '\\[([0-9]+#[0-9.]+)\\]', 1), cited) and trim(original_text) <> '' and exists (select 1 from evidence v where v.evidence = cited and contains(v.text, regexp_replace(original_text, '[.!? \\t]+$', ''))) then 'supported' else 'unsupported' end as status
-        from parts where claim <> '')"""
+@register(
+    "a07_errata_warnings",
+    f"""with {PACK_SQL}, {ERRATA}, packed as (select distinct query_id, rfc_number || '#' || section as evidence, rfc_number, section from pack)
+    select p.query_id, p.evidence, e.errata_id, e.corrected_text from packed p join errata e on e.rfc_number = p.rfc_number and trim(e.section) = p.section and e.status = 'verified' and trim(e.section) <> '' where p.rfc_number % 2 = 0""",
+)
+def a07(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pack's answer cites its sections of documents with an even number."""
+    rows = E.assemble(results(spark, folder), I.sections(spark, folder), I.hits(spark, folder), I.errata(spark, folder))
+    return A.errata_warnings(rows, rows.where("rfc_number % 2 = 0").select(F.col("query_id").alias("answer_id"), "evidence"))
+
+
+BARE_SQL = f"regexp_replace(coalesce(original_text, ''), '{NO_MARKS.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+CLAIMS_SQL = f"""{EVIDENCE_SQL}, {ERR_SQL}, told as (select *, {CITABLE_SQL} as citable, {HOLDS_CUT_SQL} as holds from err),
+    statuses as (select errata_id as answer_id, 0 as claim_no, 'It says so, e.g. Here ' || {BARE_SQL} || ' [' || cited || ']' as claim, citable::int as markers, case when not citable then 'uncited' when holds then 'supported' else 'unsupported' end as status from told
+    union all select errata_id, 1, 'Nobody cites this', 0, 'uncited' from told union all select errata_id, 2, 'See approx. Numbers [9#9]', 1, 'unsupported' from told)"""
+
+
+@register("a08_claims", f"with {CLAIMS_SQL} select answer_id, claim_no, claim, markers from statuses")
+def a08(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims of the answers by the full splitter, with their number of citations."""
+    return A.claims(answer_rows(spark, folder)[0]).select("answer_id", "claim_no", "claim", F.size("markers").alias("markers"))
 
 
 @register("a10_claim_status", f"with {CLAIMS_SQL} select answer_id, claim_no, status from statuses")
 def a10(spark: SparkSession, folder: str) -> DataFrame:
-    """Claims split without the abbreviation list, which the twin's regular expressions can't state."""
     answers, citations = answer_rows(spark, folder)
-    return A.claim_status(answers, citations, evidence_rows(spark, folder), SIMPLE).select("answer_id", "claim_no", "status")
+    return A.claim_status(answers, citations, evidence_rows(spark, folder)).select("answer_id", "claim_no", "status")
 
 
-@register("a11_support_rate", f"with {CLAIMS_SQL} select a.answer_id, count(s.status) as claims, round(coalesce(avg((s.status = 'supported')::int), 0), 6) as support_rate from ans a left join statuses s using (answer_id) group by a.answer_id")
+@register("a11_support_rate", f"with {CLAIMS_SQL} select answer_id, count(*) as claims, round(avg((status = 'supported')::int), 6) as support_rate from statuses group by answer_id")
 def a11(spark: SparkSession, folder: str) -> DataFrame:
     answers, citations = answer_rows(spark, folder)
-    return A.support_rate(A.claim_status(answers, citations, evidence_rows(spark, folder), SIMPLE), answers)
-
-
-@register("a08_claims")
-def a08(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences of every section by the full splitter, which has a look-behind; unit tests hold the cases."""
-    rows = I.sections(spark, folder).where("text is not null").select(F.col("id").alias("answer_id"), F.col("text").alias("answer"))
-    return A.claims(rows).groupBy("answer_id").agg(F.count("*").alias("claims"), F.sum(F.size("markers")).alias("markers"))
+    return A.support_rate(A.claim_status(answers, citations, evidence_rows(spark, folder)), answers)
 
 
-@register("n_plan_all_titles")
-def n_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """The full plan of each current document's title, arrays included."""
-    return plan(I.documents(spark, folder).select(F.col("rfc_number").alias("query_id"), F.col("title").alias("query")))
+@register(
+    "m19_answer_evaluation",
+    f"""with {CLAIMS_SQL}, {CUR}, {EDGES}, kept as (select errata_id, rfc_number from err where {HOLDS_SQL}), old as (select distinct target from edges where kind = 'obsoletes'),
+    judged as (select e.errata_id, e.rfc_number, k.errata_id is not null as held, e.errata_id % 2 = 0 as right_document, coalesce(s.rate, 0) as rate from err e left join kept k using (errata_id)
+        left join (select answer_id, avg((status = 'supported')::int) rate from statuses group by answer_id) s on s.answer_id = e.errata_id)
+    select errata_id as answer_id, case when held and right_document then 1e0 else 0e0 end as "precision", case when held and right_document then 1e0 else 0e0 end as recall, held and errata_id % 5 = 0 as hallucinated,
+        case when errata_id % 7 = 0 then not held end as declined_correctly, case when held then 1e0 else 0e0 end as faithfulness, case when held and rfc_number in (select target from old) then 1e0 else 0e0 end as obsolete_rate, round(rate, 6) as support_rate from judged""",
+)
+def m19(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers judged against a question set in which every other one must cite the document it names."""
+    answers, citations = answer_rows(spark, folder)
+    kept = A.grounded(citations, evidence_rows(spark, folder))
+    support = A.support_rate(A.claim_status(answers, citations, evidence_rows(spark, folder)), answers)
+    number = F.split("evidence", "#")[0].cast("int")
+    asked = citations.select(F.col("answer_id").alias("query_id"), F.when(F.col("answer_id") % 7 == 0, "no_answer").otherwise("factual").alias("answer_type"), F.array(F.when(F.col("answer_id") % 2 == 0, number).otherwise(F.lit(-1))).alias("must_cite"), F.array(F.when(F.col("answer_id") % 5 == 0, number).otherwise(F.lit(-2))).alias("should_not_cite"))
+    judged = evaluate.answers(A.demoted(answers, kept), kept, support, asked, obsolete_documents(I.documents(spark, folder)))
+    return judged.select("answer_id", "precision", "recall", "hallucinated", "declined_correctly", "faithfulness", "obsolete_rate", "support_rate")

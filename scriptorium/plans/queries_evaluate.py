@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from scriptorium.operators import metrics as M
 from scriptorium.operators import retrieval as Q
 from scriptorium.operators.relations import obsolete_documents
+from scriptorium.plans import evaluate
 from scriptorium.plans import inputs as I
-from scriptorium.plans.queries_search import RANKED, index
+from scriptorium.plans.queries_search import RANKED
 from scriptorium.plans.register import Register
 from scriptorium.plans.sql import CUR, EDGES, LEXICAL, QUESTIONS
 
@@ -17,7 +18,7 @@ register = Register()
 QUERIES, SQL = register.queries, register.sql
 
 # A question's own document, and those that its current row updates or obsoletes, are what it should find.
-EXPECTED_SQL = f"""{QUESTIONS}, {LEXICAL}, {EDGES}, results as (select f.query_id, s.rfc_number, f.rank from (select *, {RANKED.format('score')} as rank from lex) f join rfc_sections s using (id) where rank <= 40),
+EXPECTED_SQL = f"""{QUESTIONS}, {LEXICAL}, {EDGES}, results as (select query_id, rfc_number, rank from (select *, {RANKED.format('score')} as rank from lex) where rank <= 40),
     ranking as (select query_id, item, row_number() over (partition by query_id order by rank, item) rank from (select query_id, rfc_number item, min(rank) rank from results group by query_id, rfc_number)),
     expected as (select query_id, query_id as item from q union all select q.query_id, e.target from q join (select distinct rfc_number, target from edges) e on e.rfc_number = q.query_id where e.target <> q.query_id),
     judged as (select r.query_id, max((r.rank <= 10)::int) hit, 1e0 / min(r.rank) rr, sum(case when r.rank <= 10 then 1e0 / log2(r.rank + 1) else 0 end) gain from ranking r join (select distinct * from expected) x using (query_id, item) group by r.query_id),
@@ -29,7 +30,7 @@ EXPECTED_SQL = f"""{QUESTIONS}, {LEXICAL}, {EDGES}, results as (select f.query_i
 def evaluated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ranking of documents, expected, questions)."""
     asked = I.questions(spark, folder).drop("vector")
-    found = Q.lexical_search(asked, index(spark, folder, asked), 40).join(I.sections(spark, folder).select("id", "rfc_number"), "id")
+    found = Q.lexical_search(asked, I.postings(spark, folder), 40)
     links = I.documents(spark, folder).where("rfc_number % 20 = 0 and trim(title) != ''")
     none = F.expr("cast(array() as array<int>)")
     named = links.select(F.col("rfc_number").alias("query_id"), F.explode(F.array_distinct(F.concat(F.coalesce("updates", none), F.coalesce("obsoletes", none)))).alias("item")).where("item is not null and item != query_id")
@@ -47,9 +48,25 @@ def m01(spark: SparkSession, folder: str) -> DataFrame:
     return M.retrieval_metrics(*evaluated(spark, folder))
 
 
-@register("m06_retrieval_summary", f"with {EXPECTED_SQL} select count(*) as questions, round(avg(hit), 6) as hit_rate, round(avg(reciprocal_rank), 6) as mrr, round(avg(ndcg), 6) as ndcg, 0::bigint as latency_ms from metrics")
+@register("m06_retrieval_summary", f"with {EXPECTED_SQL} select count(*) as questions, round(avg(hit), 6) as hit_rate, round(avg(reciprocal_rank), 6) as mrr, round(avg(ndcg), 6) as ndcg, floor(avg(query_id % 50))::bigint as latency_ms from metrics")
 def m06(spark: SparkSession, folder: str) -> DataFrame:
-    return M.retrieval_summary(M.retrieval_metrics(*evaluated(spark, folder)))
+    """With a made-up latency for each question."""
+    return M.retrieval_summary(M.retrieval_metrics(*evaluated(spark, folder)).withColumn("latency", F.col("query_id") % 50), "latency")
+
+
+@register(
+    "m02_section_hit",
+    f"""with {QUESTIONS}, {LEXICAL}, hits as (select query_id, rfc_number, section, rank from (select *, {RANKED.format('score')} as rank from lex) where rank <= 10),
+    judged as (select query_id, min(rank) rank from hits where rfc_number = query_id and section in ('1', '2', '3') and query_id % 40 > 0 or rfc_number = query_id and query_id % 40 = 0 group by query_id),
+    places as (select query_id, rank from (select query_id, rfc_number, row_number() over (partition by query_id order by min(rank), rfc_number) rank from hits group by query_id, rfc_number) where rfc_number = query_id)
+    select q.query_id, (coalesce(case when q.query_id % 40 = 0 then p.rank else j.rank end, 99) <= 10)::int as hit, round(coalesce(1e0 / case when q.query_id % 40 = 0 then p.rank else j.rank end, 0), 6) as reciprocal_rank from q left join judged j using (query_id) left join places p using (query_id)""",
+)
+def m02(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the questions expect sections 1 to 3 of their own document and are judged by sections, the others by documents."""
+    asked = I.questions(spark, folder).drop("vector")
+    found = Q.lexical_search(asked, I.postings(spark, folder), 10)
+    sets = asked.select("query_id", F.array("query_id").alias("documents"), F.when(F.col("query_id") % 40 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(*map(F.lit, "123"))).alias("sections"))
+    return evaluate.retrieval(found, sets).select("query_id", "hit", "reciprocal_rank")
 
 
 @register("m20_benchmark", f"with {EXPECTED_SQL} select count(*) as questions, round(avg((exists (select 1 from ranking r join expected x using (query_id, item) where r.query_id = q.query_id))::int), 4) as hit_rate from q")
@@ -71,7 +88,7 @@ ANSWERS_SQL = f"""{CUR}, tidy as (select rfc_number as answer_id, case when rfc_
     final as (select answer_id, round(p, 6) as "precision", round(r, 6) as recall, round(case when p <= 0 or r <= 0 then 0e0 else 2 * p * r / (p + r) end, 6) as f1,
       list_contains(cited, answer_id - 1) as hallucinated, case when answer_type = 'no_answer' then no_answer end as declined_correctly,
       round(case when len(quotes) = 0 then 0e0 else len(filled) * 1e0 / len(quotes) end, 6) as faithfulness,
-      round(case when len(cited) = 0 then 0e0 else len(list_intersect(cited, must)) * 1e0 / len(cited) end, 6) as obsolete_rate from scored)"""
+      round(case when len(cited) = 0 then 0e0 else len(list_intersect(cited, must)) * 1e0 / len(cited) end, 6) as obsolete_rate, answer_id % 8 / 8e0 as support_rate from scored)"""
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,19 +102,19 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
         F.array_compact("obsoletes").alias("obsolete"),
         F.col("authors").alias("quotes"),
         F.lit(None).cast("int").alias("faithful"),
-        F.lit(None).cast("double").alias("support_rate"),
+        (F.col("rfc_number") % 8 / 8).alias("support_rate"),
     )
     return M.answer_metrics(rows)
 
 
-@register("m07_m15_answers", f'with {ANSWERS_SQL} select answer_id, "precision", recall, f1, hallucinated, declined_correctly, faithfulness, obsolete_rate from final')
+@register("m07_m15_answers", f'with {ANSWERS_SQL} select answer_id, "precision", recall, f1, hallucinated, declined_correctly, faithfulness, obsolete_rate, support_rate from final')
 def m07(spark: SparkSession, folder: str) -> DataFrame:
-    return answers(spark, folder).select("answer_id", "precision", "recall", "f1", "hallucinated", "declined_correctly", "faithfulness", "obsolete_rate")
+    return answers(spark, folder).select("answer_id", "precision", "recall", "f1", "hallucinated", "declined_correctly", "faithfulness", "obsolete_rate", "support_rate")
 
 
 @register(
     "m16_answer_summary",
-    f'with {ANSWERS_SQL} select count(*) as answers, round(avg("precision"), 6) as "precision", round(avg(recall), 6) as recall, round(avg(f1), 6) as f1, round(avg(hallucinated::int), 6) as hallucination_rate, round(avg(declined_correctly::int), 6) as no_answer_accuracy, round(avg(faithfulness), 6) as faithfulness, round(avg(obsolete_rate), 6) as obsolete_rate from final',
+    f'with {ANSWERS_SQL} select count(*) as answers, round(avg("precision"), 6) as "precision", round(avg(recall), 6) as recall, round(avg(f1), 6) as f1, round(avg(hallucinated::int), 6) as hallucination_rate, round(avg(declined_correctly::int), 6) as no_answer_accuracy, round(avg(faithfulness), 6) as faithfulness, round(avg(obsolete_rate), 6) as obsolete_rate, round(avg(support_rate), 6) as support_rate from final',
 )
 def m16(spark: SparkSession, folder: str) -> DataFrame:
-    return M.answer_summary(answers(spark, folder)).drop("support_rate")
+    return M.answer_summary(answers(spark, folder))

@@ -11,7 +11,7 @@ from scriptorium.operators import relations as R
 from scriptorium.operators.tables import first_sections
 from scriptorium.plans import inputs as I
 from scriptorium.plans.register import Register
-from scriptorium.plans.sql import CUR, EDGES, FIRST, PATH, RELATIONS, STATUS, status
+from scriptorium.plans.sql import CUR, EDGES, ERRATA, FIRST, PATH, RELATIONS, STATUS
 from scriptorium.schema import ERRATA_STATUSES
 
 register = Register()
@@ -117,7 +117,7 @@ def l16(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "l17_errata_by_section",
-    f"select rfc_number || '#' || trim(section) as evidence, count(*) as n, min(errata_id) as first from rfc_errata where {status('status')} in ({', '.join(repr(s) for s in ERRATA_STATUSES)}) and trim(section) <> '' group by 1",
+    f"with {ERRATA} select rfc_number || '#' || trim(section) as evidence, count(*) as n, min(errata_id) as first from errata where status in ({', '.join(repr(s) for s in ERRATA_STATUSES)}) and trim(section) <> '' group by 1",
 )
 def l17(spark: SparkSession, folder: str) -> DataFrame:
     return L.errata_by_section(I.errata(spark, folder)).select("evidence", F.size("errata").cast("long").alias("n"), F.col("errata")[0]["errata_id"].alias("first"))

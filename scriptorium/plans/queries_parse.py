@@ -22,13 +22,23 @@ def line_rows(*keep: str, source: str = "rfc_sections", text: str = PLAIN) -> st
     return f"lines as (select {columns}, unnest(l) as line, unnest(range(len(l))) as pos from (select {columns}, string_split({text}, chr(10)) l from {source}))"
 
 
+# Each section's text with page lines of its document put before, into and after it, and lines that only look like some.
+PAGED = "'RFC ' || rfc_number || ' Notes 2020' || chr(10) || text || chr(10) || '   [Page ' || ordinal || ']' || chr(10) || chr(12) || ' RFC ' || rfc_number || '   Notes' || chr(10) || 'see RFC ' || rfc_number || ' [Page 1]' || chr(10) || 'RFC none'"
+UNPAGED = "chr(10) || text || chr(10) || chr(10) || chr(10) || 'see RFC ' || rfc_number || ' [Page 1]' || chr(10) || 'RFC none'"
+
+
+def without_page_lines(text: str) -> str:
+    return f"regexp_replace(regexp_replace(replace({text}, chr(13) || chr(10), chr(10)), '{P.PAGE_HEADER}', '', 'g'), '{P.PAGE_FOOTER}', '', 'g')"
+
+
 @register(
     "p07_p08_page_lines",
-    f"select id, length(regexp_replace(regexp_replace({PLAIN}, '{P.PAGE_HEADER}', '', 'g'), '{P.PAGE_FOOTER}', '', 'g')) as n_chars, md5(regexp_replace(regexp_replace({PLAIN}, '{P.PAGE_HEADER}', '', 'g'), '{P.PAGE_FOOTER}', '', 'g')) as digest from rfc_sections where text is not null",
+    f"select id, length(t) as n_chars, md5(t) as digest, t <> replace(paged, chr(13) || chr(10), chr(10)) as changed from (select id, {PAGED} as paged, {without_page_lines(PAGED)} as t from rfc_sections where text is not null and rfc_number is not null and ordinal is not null)",
 )
 def p07(spark: SparkSession, folder: str) -> DataFrame:
-    rows = I.sections(spark, folder).where("text is not null").select("id", P.without_pages("text").alias("t"))
-    return rows.select("id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
+    rows = I.sections(spark, folder).where("text is not null and rfc_number is not null and ordinal is not null").select("id", F.expr(PAGED.replace("chr(", "char(")).alias("paged"))
+    bare = rows.select("id", P.without_pages("paged").alias("t"), F.replace("paged", F.lit("\r\n"), F.lit("\n")).alias("plain"))
+    return bare.select("id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"), (F.col("t") != F.col("plain")).alias("changed"))
 
 
 @register(
@@ -84,16 +94,34 @@ def p15(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "u07_vocabulary_vectors",
-    "select id, " + " + ".join(f"contains(upper(coalesce(text, '')), '{w}')::int" for w in E.VOCABULARY) + " as words from rfc_sections",
+    "with held as (select id, list_filter([" + ", ".join(f"case when contains(upper(coalesce(text, '')), '{w}') then {at} end" for w, at in E.VOCABULARY.items()) + "], lambda x: x is not null) as spots from rfc_sections) "
+    "select id, array_to_string(list_transform(list_sort(spots), lambda x: x::varchar), ',') as dimensions, case when len(spots) > 0 then round(1 / sqrt(len(spots)), 6) else 0e0 end as weight from held",
 )
 def u07(spark: SparkSession, folder: str) -> DataFrame:
-    """How many vocabulary words each text holds, read off its vector: every part is 0 or 1 / sqrt(words)."""
+    """Dimensions of each text's vector that aren't zero, and what they hold."""
     vectors = I.sections(spark, folder).select("id", E.vocabulary_vector("text").alias("v"))
-    return vectors.select("id", F.size(F.filter("v", lambda x: x > 0)).alias("words"))
+    at = F.filter(F.transform("v", lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull())
+    return vectors.select("id", F.array_join(F.transform(at, lambda x: x.cast("string")), ",").alias("dimensions"), F.round(F.array_max("v"), 6).alias("weight"))
 
 
-@register("p02_headers")
+# A whole document made around every section: its header, front matter and contents are known, so the twin states what
+# must come out instead of scanning for it.
+FILE = """concat('Working Group                     A. Writer', char(13), char(10), 'Updates: ', rfc_number - 1, ', RFC ', rfc_number - 2, ', 0, x', char(10), 'Obsoletes: ', rfc_number - 3, ' Someone', char(10),
+    'Category: Kind ', ordinal, '   ', char(10), 'ISSN: 2070-', rfc_number, char(10), 'Date: May ', ordinal, char(10), 'Authors: A. B', ordinal, ',  C. D', char(10), char(10), '          Notes on ', rfc_number, '   ', char(10),
+    '          Part ', ordinal, char(10), char(10), 'Status of This Memo', char(10), char(10), '   This memo is a test.', char(10), char(10), 'Abstract', char(10), char(10), '   Words.', char(10), char(10),
+    'Table of Contents', char(10), char(10), '   ', ordinal, '. Part', char(10), char(10), ordinal, '.  Part', char(10), 'first line', char(10), 'Category: Other', char(10), coalesce(text, ''))"""
+
+
+@register(
+    "p02_p10_headers",
+    """select id, 'Notes on ' || rfc_number || '           Part ' || ordinal as title, 'Kind ' || ordinal as category, 'May ' || ordinal as rfc_date, '2070-' || rfc_number as issn,
+    concat_ws(',', rfc_number - 1, rfc_number - 2) as updates, (rfc_number - 3)::varchar as obsoletes, 'A. B' || ordinal || '|C. D' as authors,
+    md5('Abstract' || chr(10) || chr(10) || '   Words.' || chr(10) || chr(10) || ordinal || '.  Part' || chr(10) || 'first line' || chr(10) || 'Category: Other' || chr(10) || replace(coalesce(text, ''), chr(13) || chr(10), chr(10))) as body
+    from rfc_sections where rfc_number > 3 and ordinal is not null and not contains(coalesce(text, ''), chr(0))""",
+)
 def p02(spark: SparkSession, folder: str) -> DataFrame:
-    """P02-P06, P09 on every section's text taken as a file; scans whole texts in Python, so rows only."""
-    files = I.sections(spark, folder).select("id", "rfc_number", "text")
-    return P.with_header(files).select("id", "rfc_number", "title", "category", "updates", "obsoletes", F.length("body").alias("n_body"))
+    """P02-P06, P09, P10 on a document made around every section."""
+    files = I.sections(spark, folder).where("rfc_number > 3 and ordinal is not null and not contains(coalesce(text, ''), char(0))").select("id", "rfc_number", F.expr(FILE).alias("text"))
+    body = F.md5(P.without_contents("body").cast("binary"))
+    numbers = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",").alias(c)
+    return P.with_header(files).select("id", "title", "category", "rfc_date", "issn", numbers("updates"), numbers("obsoletes"), F.array_join("authors", "|").alias("authors"), body.alias("body"))

@@ -5,48 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.stem import stem_sql
 from scriptorium.functions.text import query_terms
 from scriptorium.operators import planner as N
 from scriptorium.operators import rerank as R
 from scriptorium.operators import retrieval as Q
 from scriptorium.operators.relations import relations
 from scriptorium.plans import inputs as I
+from scriptorium.plans.ask import retrieval_info
 from scriptorium.plans.register import Register
-from scriptorium.plans.sql import FUSED, LEXICAL, NEAR, POSTINGS, QUESTIONS, RELATIONS, STATUS, lexemes
+from scriptorium.plans.sql import FUSED, LEXICAL, NEAR, POSTINGS, QUESTIONS, RELATIONS, STATUS, lexemes, matches, postings
 from scriptorium.schema import KEYWORDS, PROTOCOL_SEEDS
 from scriptorium.session import stage_table
 
 register = Register()
 QUERIES, SQL = register.queries, register.sql
 
-RANKED = "row_number() over (partition by query_id order by {} desc, id)"
-
-
-def index(spark: SparkSession, folder: str, questions: DataFrame | None = None) -> DataFrame:
-    return Q.postings(I.sections(spark, folder), questions=questions)
+RANKED = "row_number() over (partition by query_id order by {} desc, rfc_number, section, id)"
+BY_ID = "row_number() over (partition by query_id order by {} desc, id)"
 
 
 @register("q01_lexical", f"with {QUESTIONS}, {LEXICAL} select query_id, id, round(score, 6) as score, rank from (select *, {RANKED.format('score')} as rank from lex) where rank <= 10")
 def q01(spark: SparkSession, folder: str) -> DataFrame:
     asked = I.questions(spark, folder)
-    return Q.lexical_search(asked, index(spark, folder, asked)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return Q.lexical_search(asked, I.postings(spark, folder)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("q01_postings", f"with {POSTINGS} select lexeme, count(*) as rows, sum(tf)::bigint as tf from post group by lexeme")
 def q01_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return index(spark, folder).groupBy("lexeme").agg(F.count("*").alias("rows"), F.sum("tf").alias("tf"))
+    return I.postings(spark, folder).groupBy("lexeme").agg(F.count("*").alias("rows"), F.sum("tf").alias("tf"))
 
 
 @register(
     "q01_bm25",
-    f"""with {QUESTIONS}, {POSTINGS}, sizes as (select id, sum(tf) size from post group by id), whole as (select count(*) total, avg(size) mean from sizes),
+    f"""with {QUESTIONS}, {POSTINGS}, terms as (select distinct query_id, lexeme from ({stem_sql(f"(select query_id, unnest({lexemes('query')}) as word from q)")})), sizes as (select id, sum(tf) size from post group by id), whole as (select count(*) total, avg(size) mean from sizes),
     df as (select lexeme, count(*) df from post group by lexeme),
     s as (select query_id, id, round(sum(ln(1 + (total - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * size / mean))), 6) score
-      from (select query_id, unnest(list_distinct({lexemes('query')})) lexeme from q) w join post using (lexeme) join df using (lexeme) join sizes using (id) cross join whole group by query_id, id)
-    select query_id, id, round(score, 3) as score from (select *, {RANKED.format('score')} as rank from s) where rank <= 10""",
+      from terms join post using (lexeme) join df using (lexeme) join sizes using (id) cross join whole group by query_id, id)
+    select query_id, id, round(score, 3) as score from (select *, {BY_ID.format('score')} as rank from s) where rank <= 10""",
 )
 def q01_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    scored = Q.bm25_matches(I.questions(spark, folder), index(spark, folder))
+    scored = Q.bm25_matches(I.questions(spark, folder), I.postings(spark, folder))
     return Q.top(scored, 10, F.col("score").desc(), F.col("id")).select("query_id", "id", F.round("score", 3).alias("score"))
 
 
@@ -55,39 +54,51 @@ def q02(spark: SparkSession, folder: str) -> DataFrame:
     return Q.vector_search(I.questions(spark, folder), I.vectors(spark, folder)).select("query_id", "id", "score", "rank")
 
 
-@register("q03_hybrid", f"with {QUESTIONS}, {LEXICAL}, {NEAR}, {FUSED} select query_id, id, lexical_rank, vector_rank, rrf, rank from (select *, {RANKED.format('rrf')} as rank from fused) where rank <= 10")
+@register("q03_hybrid", f"with {QUESTIONS}, {LEXICAL}, {NEAR}, {FUSED} select query_id, id, lexical_rank, vector_rank, rrf, rank from (select *, {RANKED.format('rrf')} as rank from fused join (select id, rfc_number, section from rfc_sections) using (id)) where rank <= 10")
 def q03(spark: SparkSession, folder: str) -> DataFrame:
     asked = I.questions(spark, folder)
-    return Q.hybrid_search(asked, index(spark, folder, asked), I.vectors(spark, folder)).select("query_id", "id", "lexical_rank", "vector_rank", "rrf", "rank")
+    return Q.hybrid_search(asked, I.postings(spark, folder), I.vectors(spark, folder), I.sections(spark, folder)).select("query_id", "id", "lexical_rank", "vector_rank", "rrf", "rank")
 
 
 @register("q04_wide_candidates", f"with {QUESTIONS}, {LEXICAL}, {NEAR}, {FUSED} select query_id, id, lexical_rank, vector_rank, rrf from fused")
 def q04(spark: SparkSession, folder: str) -> DataFrame:
     asked = I.questions(spark, folder)
-    return Q.wide_candidates(asked, index(spark, folder, asked), I.vectors(spark, folder))
+    return Q.wide_candidates(asked, I.postings(spark, folder), I.vectors(spark, folder))
 
 
-@register(
-    "q05_keyword_filter",
-    f"with {QUESTIONS}, {LEXICAL.replace('from rfc_sections)', 'from rfc_sections where id in (select section_id from normative_occurrences where keyword = ' + chr(39) + 'MUST' + chr(39) + '))')} select query_id, id, rank from (select *, {RANKED.format('score')} as rank from lex) where rank <= 10",
-)
-def q05(spark: SparkSession, folder: str) -> DataFrame:
-    """Lexical search among sections with MUST: the filter comes before tokenising and ranking."""
-    kept = Q.with_keyword(I.sections(spark, folder).select("id", "text"), I.hits(spark, folder), "must")
-    asked = I.questions(spark, folder)
-    return Q.lexical_search(asked, Q.postings(kept, questions=asked)).select("query_id", "id", "rank")
+HAS_MUST = "(select * from rfc_sections where id in (select section_id from normative_occurrences where keyword = 'MUST'))"
 
 
-PLAN_SQL = f"""planned as (select *, list_transform(list_distinct(regexp_extract_all(query, '(?i)\\bRFC\\s*([0-9]{{3,5}})\\b', 1)), lambda x: x::int) rfc_numbers,
+@register("q05_keyword_filter", f"with {QUESTIONS}, {postings(HAS_MUST, 'text')}, {matches()} select query_id, id, rank from (select *, {RANKED.format('score')} as rank from lex) where rank <= 10")
+def q05(spark: SparkSession, folder: str) -> DataFrame:
+    """Lexical search among sections with MUST: the filter comes before ranking."""
+    kept = Q.with_keyword(I.postings(spark, folder), I.hits(spark, folder), "must")
+    return Q.lexical_search(I.questions(spark, folder), kept).select("query_id", "id", "rank")
+
+
+SEEDS = "case p " + " ".join(f"when '{name}' then {list(numbers)}" for name, numbers in PROTOCOL_SEEDS.items()) + " end"
+REFERENCE = r"(?is)\bRFC\s*([0-9]{3,5})\b.{0,80}?(?:\bsection\s+|§\s*)([0-9]+(?:\.[0-9]+)*[A-Za-z]?)\b"
+def plan_sql(source: str) -> str:
+    """A CTE of the plans of a source's questions."""
+    return f"""planned as (select *, list_transform(list_distinct(regexp_extract_all(query, '(?i)\\bRFC\\s*([0-9]{{3,5}})\\b', 1)), lambda x: x::int) rfc_numbers,
+    list_transform(regexp_extract_all(query, '{REFERENCE}', 1), lambda x, i: x || '#' || regexp_extract_all(query, '{REFERENCE}', 2)[i]) refs,
+    flatten(list_transform(list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b({"|".join(PROTOCOL_SEEDS)})\\b', 1), lambda x: lower(x))), lambda p: {SEEDS})) protocol_numbers,
     regexp_matches(query, '(?i)\\b(old|obsolete|changed\\s+from)\\b') include_obsolete, list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b({"|".join(PROTOCOL_SEEDS)})\\b', 1), lambda x: lower(x))) protocols,
-    list_filter(list_distinct(regexp_split_to_array(lower(query), '[ \\t\\n.,?!()\\[\\]:;"'']+')), lambda x: length(x) >= 3) terms from q)"""
+    list_filter(list_distinct(regexp_split_to_array(lower(query), '[ \\t\\n.,?!()\\[\\]:;"'']+')), lambda x: length(x) >= 3) terms from {source})"""
+
+
+PLAN_SQL = plan_sql("q")
+# Questions that name their own document, a section of it, and protocols, so that every signal can fire.
+NAMING_SQL = "(select query_id, query || ' as RFC ' || query_id || ' section 1 says over dns and http' as query from q)"
 
 
 @register(
     "q09_rerank",
-    f"""with {QUESTIONS}, {LEXICAL}, {NEAR}, {FUSED}, {RELATIONS}, {PLAN_SQL},
+    f"""with {QUESTIONS}, {LEXICAL}, {NEAR}, {FUSED}, {RELATIONS}, {plan_sql(NAMING_SQL)},
     scored as (select p.query_id, s.id, s.rfc_number, s.section, rrf, round(rrf
       + case when list_contains(rfc_numbers, s.rfc_number) then 0.12e0 else 0 end
+      + case when list_contains(refs, s.rfc_number || '#' || s.section) then 0.1e0 else 0 end
+      + case when list_contains(protocol_numbers, s.rfc_number) then 0.04e0 else 0 end
       + case when len(list_filter(terms, lambda t: contains(lower(coalesce(s.heading, '')), t))) > 0 then 0.05e0 else 0 end
       + case when not include_obsolete and len(coalesce(obsoleted_by, [])) > 0 then -0.1e0 else 0 end
       + case when list_has_any(rfc_numbers, list_concat(coalesce(obsoletes, []), coalesce(updates, []))) then 0.06e0 else 0 end, 6) score, {STATUS} category
@@ -96,9 +107,10 @@ PLAN_SQL = f"""planned as (select *, list_transform(list_distinct(regexp_extract
 )
 def q09(spark: SparkSession, folder: str) -> DataFrame:
     asked = stage_table(I.questions(spark, folder))
-    fused = Q.wide_candidates(asked, index(spark, folder, asked), I.vectors(spark, folder))
+    fused = Q.wide_candidates(asked, I.postings(spark, folder), I.vectors(spark, folder))
     related = relations(I.documents(spark, folder))
-    return R.rerank(fused, N.plan(asked), I.sections(spark, folder), related).select("query_id", "id", "rfc_number", "section", "score", "category", "rank")
+    naming = asked.withColumn("query", F.concat("query", F.lit(" as RFC "), "query_id", F.lit(" section 1 says over dns and http")))
+    return R.rerank(fused, N.plan(naming), I.sections(spark, folder), related).select("query_id", "id", "rfc_number", "section", "score", "category", "rank")
 
 
 @register("q11_query_terms", f"with {QUESTIONS}, {PLAN_SQL} select query_id, array_to_string(list_sort(terms), ' ') as terms from planned")
@@ -119,7 +131,7 @@ def q13(spark: SparkSession, folder: str) -> DataFrame:
     """Every question names section 1 of its own document."""
     asked = I.questions(spark, folder)
     rows = I.sections(spark, folder)
-    found = Q.lexical_search(asked, index(spark, folder, asked)).join(rows.select("id", "rfc_number", "section"), "id")
+    found = Q.lexical_search(asked, I.postings(spark, folder))
     named = asked.select("query_id", F.col("query_id").alias("rfc_number"), F.lit("1").alias("section"), F.lit(0).alias("at"))
     return Q.merge_referenced(found, named, rows).select("query_id", "id", "rfc_number", "section", F.round("score", 6).alias("score"), "rank")
 
@@ -137,11 +149,9 @@ def q15(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "q16_grammar",
     f"""with {QUESTIONS.split('qv as')[0].rstrip().rstrip(',')}, gq as (select distinct r as query_id, r as query from (select unnest(rule_names) r from rfc_abnf_blocks where rfc_number % 20 = 0) where trim(r) <> ''),
-    post as (select id, lexeme, count(*) tf from (select id, unnest({lexemes('abnf_text')}) lexeme from rfc_abnf_blocks) group by id, lexeme),
-    terms as (select query_id, list_distinct({lexemes('query')}) t from gq),
-    lex as (select query_id, id, round(sum(ln(1 + tf)), 9) score from (select query_id, len(t) needed, unnest(t) lexeme from terms) w join post using (lexeme) group by query_id, id, needed having count(*) = needed),
+    {postings('rfc_abnf_blocks', 'abnf_text')}, {matches('gq')},
     held as (select query_id, id, 0e0 score from gq join rfc_abnf_blocks on contains(lower(abnf_text), lower(query))),
-    s as (select query_id, id, max(score) score from (select * from lex union all select * from held) group by query_id, id),
+    s as (select query_id, id, max(score) score from (select query_id, id, score from lex union all select * from held) group by query_id, id),
     each as (select * from (select s.*, b.section_id, b.rfc_number, b.section, row_number() over (partition by query_id, section_id order by score desc, s.id) rn from s join rfc_abnf_blocks b on b.id = s.id) where rn = 1)
     select query_id, id, section_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, rfc_number, section, id) as rank from each) where rank <= 20""",
 )
@@ -152,33 +162,78 @@ def q16(spark: SparkSession, folder: str) -> DataFrame:
     return Q.grammar_search(asked, blocks).select("query_id", "id", "section_id", F.round("score", 6).alias("score"), "rank")
 
 
-SENTENCES = "select id as query_id, replace(text, chr(13) || chr(10), chr(10)) as query from rfc_sections where text is not null"
+# Questions made from every section: they name documents, sections, protocols and keywords in the forms that the planner
+# knows, and in some that it must not take.
+ASKED = (
+    "'What does RFC ' || rfc_number || ' section ' || section || ' say, and rfc' || (rfc_number + 1) || '?'",
+    "'is it forbidden by rfc' || rfc_number || ' §' || section || ' over TLS and http and HTTP'",
+    "'the grammar of RFC ' || rfc_number || ', as in section ' || section || 'a, that is required'",
+    "'which old DNS rules changed from RFC ' || rfc_number || ' in section  ' || section || ' are allowed'",
+    "'RFC ' || rfc_number || ' and RFC ' || rfc_number || ' must  not use tcp or quic; RFC 12 and RFC 123456 neither'",
+    "'what MUST a client do under ' || rfc_number || ' with oauth, jwt and uri'",
+    "'Augmented BNF of smtp; section ' || section || ' of RFC ' || rfc_number",
+    "text",
+)
+ASKED_SQL = "asked as (select id as query_id, replace(case ordinal % 8 " + " ".join(f"when {i} then {text}" for i, text in enumerate(ASKED)) + " end, chr(13) || chr(10), chr(10)) as query from rfc_sections where ordinal is not null)"
 
 
-@register(
-    "n01_n06_planner",
-    f"""with q as ({SENTENCES}) select query_id,
-    array_to_string(list_sort(list_distinct(regexp_extract_all(query, '(?i)\\bRFC\\s*([0-9]{{3,5}})\\b', 1))), ',') as mentions,
-    case when regexp_matches(query, '\\b({"|".join(KEYWORDS)})\\b') then null when regexp_matches(query, '(?i)\\b(forbidden|must\\s+not)\\b') then 'MUST NOT' when regexp_matches(query, '(?i)\\b(must|required|compliant)\\b') then 'MUST' when regexp_matches(query, '(?i)\\ballowed\\b') then 'MAY' end as keyword,
-    regexp_matches(query, '(?i)\\b(ABNF|grammar|syntax|Augmented\\s+BNF)\\b') as grammar_intent, regexp_matches(query, '(?i)\\b(old|obsolete|changed\\s+from)\\b') as include_obsolete,
-    len(list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b({"|".join(PROTOCOL_SEEDS)})\\b', 1), lambda x: lower(x)))) as protocols from q""",
-)
-def n01(spark: SparkSession, folder: str) -> DataFrame:
-    """The planner over every section's text taken as a question."""
-    asked = I.sections(spark, folder).where("text is not null").select(F.col("id").alias("query_id"), F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("query"))
-    named = F.regexp_extract_all("query", F.lit(N.PROTOCOLS), F.lit(1))
-    return N.plan(asked).select(
+def asked_of_sections(spark: SparkSession, folder: str) -> DataFrame:
+    made = F.expr("case ordinal % 8 " + " ".join(f"when {i} then {text}" for i, text in enumerate(ASKED)) + " end")
+    return I.sections(spark, folder).where("ordinal is not null").select(F.col("id").alias("query_id"), F.replace(made, F.lit("\r\n"), F.lit("\n")).alias("query")).where("query is not null")
+
+
+SHOWN_SQL = f"""shown as (select *, case when regexp_matches(query, '\\b({"|".join(KEYWORDS)})\\b') then null when regexp_matches(query, '(?i)\\b(forbidden|must\\s+not)\\b') then 'MUST NOT'
+        when regexp_matches(query, '(?i)\\b(must|required|compliant)\\b') then 'MUST' when regexp_matches(query, '(?i)\\ballowed\\b') then 'MAY' end as keyword,
+    regexp_matches(query, '(?i)\\b(ABNF|grammar|syntax|Augmented\\s+BNF)\\b') as grammar_intent,
+    array_to_string(list_sort(list_transform(rfc_numbers, lambda x: x::varchar)), ',') as mentions, array_to_string(list_sort(list_distinct(refs)), ',') as "references",
+    array_to_string(list_transform(list_sort(list_distinct(protocol_numbers)), lambda x: x::varchar), ',') as protocols_named from planned)"""
+RATIONALE_SQL = "concat_ws(',', case when mentions <> '' then 'rfc-number' end, case when \"references\" <> '' then 'section-reference' end, case when keyword is not null then 'normative-keyword' end, case when protocols_named <> '' then 'protocol-hint' end, case when grammar_intent then 'abnf-intent' end, case when include_obsolete then 'historical-intent' end)"
+
+
+def shown_plan(planned: DataFrame) -> DataFrame:
+    """The plan's arrays as text."""
+    refs = F.array_sort(F.transform("section_references", lambda r: F.concat_ws("#", r["rfc_number"], r["section"])))
+    return planned.select(
         "query_id",
         F.array_join(F.array_sort(F.transform("rfc_numbers", lambda x: x.cast("string"))), ",").alias("mentions"),
+        F.array_join(refs, ",").alias("references"),
+        F.array_join(F.transform("protocol_numbers", lambda x: x.cast("string")), ",").alias("protocols"),
         F.col("suggested_keyword").alias("keyword"),
         "grammar_intent",
         "include_obsolete",
-        F.size(F.array_distinct(F.transform(named, lambda x: F.lower(x)))).alias("protocols"),
+        "needs_current",
+        F.array_join("rationale", ",").alias("rationale"),
     )
 
 
-@register("n02_section_references")
+@register(
+    "n01_n06_planner",
+    f"""with {ASKED_SQL}, {plan_sql("(select * from asked where query is not null)")}, {SHOWN_SQL}
+    select query_id, mentions, "references", protocols_named as protocols, keyword, grammar_intent, include_obsolete, not include_obsolete as needs_current, {RATIONALE_SQL} as rationale from shown""",
+)
+def n01(spark: SparkSession, folder: str) -> DataFrame:
+    """The planner over questions made from every section, and over the texts of an eighth of them as they are."""
+    return shown_plan(N.plan(asked_of_sections(spark, folder)))
+
+
+@register(
+    "n02_section_references",
+    f"""with {ASKED_SQL}, pairs as (select query_id, regexp_extract_all(query, '{REFERENCE}', 1) n, regexp_extract_all(query, '{REFERENCE}', 2) s from asked)
+    select distinct query_id, unnest(n)::int as rfc_number, unnest(s) as section from pairs""",
+)
 def n02(spark: SparkSession, folder: str) -> DataFrame:
-    """Section references need a lazy match over 80 characters with case folding; compared in unit tests."""
-    asked = I.sections(spark, folder).where("text is not null").select(F.col("id").alias("query_id"), F.col("text").alias("query"))
-    return asked.select("query_id", F.explode(N.section_references("query")).alias("r")).select("query_id", "r.rfc_number", "r.section")
+    """Section references of the same questions."""
+    return asked_of_sections(spark, folder).select("query_id", F.explode(N.section_references("query")).alias("r")).select("query_id", "r.rfc_number", "r.section")
+
+
+@register(
+    "a12_retrieval_info",
+    f"""with {ASKED_SQL}, {plan_sql("(select * from asked where query is not null)")}, {SHOWN_SQL}
+    select query_id, 'query-planner' as strategy, keyword as normative_keyword, true as include_errata, 'verified' as errata_status, mentions, {RATIONALE_SQL} as rationale, not include_obsolete as needs_current_spec from shown""",
+)
+def a12(spark: SparkSession, folder: str) -> DataFrame:
+    """What an answer tells of its retrieval, for the same questions."""
+    info = retrieval_info(asked_of_sections(spark, folder)).select("query_id", "retrieval.*")
+    return info.select(
+        "query_id", "strategy", "filters.normative_keyword", "filters.include_errata", "filters.errata_status", F.array_join(F.array_sort(F.transform("plan.rfc_numbers", lambda x: x.cast("string"))), ",").alias("mentions"), F.array_join("plan.rationale", ",").alias("rationale"), "plan.needs_current_spec"
+    )

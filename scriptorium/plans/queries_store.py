@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,9 @@ from scriptorium.operators import tables as T
 from scriptorium.plans import inputs as I
 from scriptorium.plans.register import Register
 from scriptorium.plans.sql import CUR, status
+from scriptorium.session import stage_folder
+from scriptorium.sources.json_files import read_errata
+from scriptorium.sources.store import Store
 
 register = Register()
 QUERIES, SQL = register.queries, register.sql
@@ -80,11 +88,26 @@ def s21(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(I.sections(spark, folder).agg(F.count("*").alias("sections")), F.lit(True))
 
 
-@register("s22_manifest_append", "select mirror_path, count(*) as runs from (select mirror_path from index_manifest union all select distinct mirror_path from index_manifest) group by mirror_path")
+@register("s22_manifest_append", "select mirror_path, count(*) as runs, max(rfc_count) as most from (select mirror_path, rfc_count from index_manifest union all select distinct mirror_path, 0 from index_manifest) group by mirror_path")
 def s22(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs of each mirror after one more run of each, a run without changes included."""
-    runs = I.manifest(spark, folder).select("mirror_path")
-    return runs.unionByName(runs.distinct()).groupBy("mirror_path").agg(F.count("*").alias("runs"))
+    """Runs of each mirror in a store after its past runs were published and one more without changes for each."""
+    store = Store(spark, f"{stage_folder(spark)}/store-{uuid.uuid4().hex}")
+    runs = I.manifest(spark, folder)
+    store.publish_runs(runs)
+    store.publish_runs(runs.select("mirror_path").distinct().select(*(F.col(c) if c == "mirror_path" else F.lit(0 if c == "rfc_count" else None).cast(k).alias(c) for c, k in runs.dtypes)))
+    return store.manifest().groupBy("mirror_path").agg(F.count("*").alias("runs"), F.max("rfc_count").alias("most"))
+
+
+@register("s07_errata_json", f"select errata_id, rfc_number, nullif(trim(section), '') as section, coalesce(nullif({status('status')}, ''), 'reported') as status, reported_date from rfc_errata where errata_id > 0 and rfc_number > 0")
+def s07(spark: SparkSession, folder: str) -> DataFrame:
+    """Every erratum written to a JSON snapshot under other field names, and read again."""
+    rows = I.errata(spark, folder).select(F.col("errata_id").cast("string").alias("EID"), F.concat(F.lit("RFC"), F.col("rfc_number")).alias("doc-id"), "section", F.col("status").alias("errata_status_code"), F.col("reported_date").cast("string").alias("submit_date"))
+    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False, encoding="utf-8") as file:
+        json.dump({"Entries": [*(json.loads(r) for r in rows.toJSON().toLocalIterator()), {"EID": "x"}, 3]}, file)
+    try:
+        return read_errata(spark, file.name).select("errata_id", "rfc_number", "section", "status", "reported_date")
+    finally:
+        os.unlink(file.name)
 
 
 @register("s23_latest_manifest", "select mirror_path, id, created_at, rfc_count from (select *, row_number() over (partition by mirror_path order by created_at desc nulls last, id) rn from index_manifest) where rn = 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scriptorium.functions.stem import stem_sql
 from scriptorium.schema import ERRATA_STATUSES, KEYWORD_PATTERN, STOP_WORDS
 
 CUR = "cur as (select * exclude (rn) from (select *, row_number() over (partition by rfc_number order by indexed_at_utc desc nulls last) rn from indexed_rfcs where rfc_number is not null) where rn = 1)"
@@ -17,22 +18,39 @@ def lexemes(text: str) -> str:
     return f"list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda x: length(x) >= 2 and x not in ({STOP}))"
 
 
+ERRATA_ORDER = "reported_date desc nulls last, status desc nulls last, section nulls last, original_text nulls last"
+
+
 def status(column: str) -> str:
     named = f"regexp_replace(trim({column}), '[ -]', '_', 'g')"
     return f"case when lower({named}) in ({KNOWN}) then lower({named}) else {named} end"
 
 
+ERRATA = f"""errata as (select * exclude (rn) from (select *, row_number() over (partition by errata_id order by {ERRATA_ORDER}) rn
+    from (select * replace ({status('status')} as status) from rfc_errata where errata_id is not null)) where rn = 1)"""
 QUESTIONS = f"""{CUR},
 q as (select rfc_number as query_id, title as query from cur where rfc_number % 20 = 0 and trim(title) <> ''),
 qv as (select query_id, query, vector from q left join (
     select rfc_number, embedding as vector from (select rfc_number, embedding, row_number() over (partition by rfc_number order by ordinal nulls last, id) rn
     from rfc_sections where rfc_number % 20 = 0 and {USABLE}) where rn = 1) v on v.rfc_number = q.query_id)"""
-POSTINGS = f"post as (select id, lexeme, count(*) tf from (select id, unnest({lexemes('text')}) lexeme from rfc_sections) group by id, lexeme)"
-LEXICAL = f"""{POSTINGS},
-terms as (select query_id, list_distinct({lexemes('query')}) t from q),
-lex as (select query_id, id, round(sum(ln(1 + tf)), 9) score from (select query_id, len(t) needed, unnest(t) lexeme from terms) w join post using (lexeme)
-    group by query_id, id, needed having count(*) = needed)"""
-NEAR = f"""sims as (select query_id, id, round(list_cosine_similarity(embedding::double[], vector::double[]), 9) similarity
+def postings(source: str, text: str, name: str = "post") -> str:
+    """CTEs of the inverted table of a source, by stems."""
+    return f"""{name}_words as (select id, rfc_number, section, unnest({lexemes(text)}) as word from {source}),
+{name}_stems as ({stem_sql(f"(select distinct word from {name}_words)")}),
+{name} as (select id, rfc_number, section, lexeme, count(*) tf from {name}_words join {name}_stems using (word) group by id, rfc_number, section, lexeme)"""
+
+
+def matches(source: str = "q", post: str = "post", name: str = "lex") -> str:
+    """CTEs of the lexical matches of the questions of a source."""
+    return f"""terms as (select distinct query_id, lexeme from ({stem_sql(f"(select query_id, unnest({lexemes('query')}) as word from {source})")})),
+needed as (select query_id, count(*) as needed from terms group by query_id),
+{name} as (select query_id, id, rfc_number, section, round(sum(ln(1 + tf)), 9) score from terms join needed using (query_id) join {post} using (lexeme)
+    group by query_id, id, rfc_number, section, needed having count(*) = needed)"""
+
+
+POSTINGS = postings("rfc_sections", "text")
+LEXICAL = f"{POSTINGS},\n{matches()}"
+NEAR = f"""sims as (select query_id, id, rfc_number, section, round(list_cosine_similarity(embedding::double[], vector::double[]), 9) similarity
     from qv cross join rfc_sections where vector is not null and {USABLE})"""
 FUSED = """la as (select query_id, id, rank from (select *, row_number() over (partition by query_id order by score desc, id) rank from lex) where rank <= 40),
 va as (select query_id, id, rank from (select *, row_number() over (partition by query_id order by similarity desc, id) rank from sims) where rank <= 40),

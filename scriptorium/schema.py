@@ -22,8 +22,15 @@ PROTOCOL_SEEDS = {
     "tls": (8446,),
     "uri": (3986, 3987),
 }
-# English words that carry no meaning for a search.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+# The public list of English stop words of text search.
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+    itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
+    has had having do does did doing a an the and but if or because as until while of at by for with about against between
+    into through during before after above below to from up down in out on off over under again further then once here there
+    when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
+    just don should now""".split()
+)
 
 KEYWORD_PATTERN = r"\b(" + "|".join(KEYWORDS) + r")\b"
 
@@ -89,6 +96,15 @@ ERRATA = T.StructType(
         T.StructField("reported_date", T.DateType()),
     ]
 )
+POSTINGS = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("rfc_number", T.IntegerType()),
+        T.StructField("section", T.StringType()),
+        T.StructField("lexeme", T.StringType()),
+        T.StructField("tf", T.LongType()),
+    ]
+)
 MANIFEST = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -8,11 +8,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import document_number
-from scriptorium.operators.tables import latest
 
 
 def expand(path: str) -> str:
@@ -31,8 +30,11 @@ def discover(spark: SparkSession, mirror: str, parser: str = "text") -> DataFram
     named = files.select(document_number("path").alias("rfc_number"), "path", "content", F.lower(F.col("path")).endswith(".xml").alias("is_xml")).where("rfc_number is not null")
     if parser != "xml":
         named = named.where("not is_xml")
-    chosen = latest(named.select("rfc_number", "path", "is_xml"), "rfc_number", F.col("is_xml").asc(), F.col("path").asc())
-    kept = named.join(chosen.select("path"), "path", "left_semi")
+    # files are chosen by their paths alone; the few that another one outranks are left out of the read by an anti join,
+    # whose small side is broadcast, so contents aren't shuffled
+    place = Window.partitionBy("rfc_number").orderBy("is_xml", "path")
+    outranked = named.select("rfc_number", "path", "is_xml").withColumn("at", F.row_number().over(place)).where("at > 1").select("path")
+    kept = named.join(outranked, "path", "left_anti")
     relative = F.regexp_replace("path", "^.*?" + "\\Q" + root + "\\E/", "")
     return kept.select("rfc_number", relative.alias("source_path"), "is_xml", F.upper(F.sha2("content", 256)).alias("source_sha256"), decoded("content").alias("text"))
 

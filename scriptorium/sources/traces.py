@@ -37,7 +37,7 @@ class TraceSink:
                 os.makedirs(self.directory, exist_ok=True)
                 day = datetime.now(timezone.utc).strftime("%Y-%m-%d")
                 with open(os.path.join(self.directory, f"traces-{day}.jsonl"), "a", encoding="utf-8") as file:
-                    file.write(json.dumps(record, default=str) + "\n")
+                    file.write(json.dumps(record, default=lambda x: x.isoformat() if hasattr(x, "isoformat") else str(x)) + "\n")
             except OSError:
                 self.dropped += 1
 
@@ -46,5 +46,14 @@ class TraceSink:
         self.worker.join(10)
 
 
+def write_traces(traces: DataFrame, directory: str) -> int:
+    """Put the traces of a batch into the daily file, one by one through the bounded queue; returns how many were dropped."""
+    sink = TraceSink(directory)
+    for row in traces.toLocalIterator():
+        sink.put(row.asDict(recursive=True))
+    sink.close()
+    return sink.dropped
+
+
 def read_traces(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(TRACE).json(directory)

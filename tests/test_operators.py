@@ -102,7 +102,7 @@ def test_navigation(sections, spark):
 
 @pytest.mark.parametrize("limit,rows", [(-5, 1), (0, 1), (1, 1), (100, 3), (101, 3)])
 def test_limits_are_clamped(spark, limit, rows):
-    index = Q.postings(spark.createDataFrame([(k, "token") for k in "xyz"], "id string, text string"))
+    index = Q.postings(spark.createDataFrame([(k, 1, "1", "tokens") for k in "xyz"], "id string, rfc_number int, section string, text string"))
     assert Q.lexical_search(one(spark, "token"), index, limit).count() == rows
 
 
@@ -117,7 +117,7 @@ def test_vector_search_is_exact_and_skips_bad_rows(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(50, 64))
     rows = [(f"v{i:02}", list(map(float, v))) for i, v in enumerate(vectors)] + [("null", None), ("short", [1.0]), ("zero", [0.0] * 64), ("nan", [float("nan")] * 64)]
-    table = spark.createDataFrame(rows, "id string, vector array<double>")
+    table = spark.createDataFrame(rows, "id string, vector array<double>").selectExpr("id", "1 as rfc_number", "'1' as section", "vector")
     asked = spark.createDataFrame([(1, rows[3][1]), (2, None), (3, [0.0] * 64)], "query_id int, vector array<double>")
     got = Q.vector_search(asked, table, 5).orderBy("rank").collect()
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]

@@ -11,6 +11,7 @@ from scriptorium.api import Engine, guarded
 from scriptorium.config import Options
 from scriptorium.operators import embedding as E
 from scriptorium.operators import parsing as P
+from scriptorium.session import stage_table
 from scriptorium.sources import files as S
 from scriptorium.sources.json_files import read_errata, read_questions
 from scriptorium.sources.store import Store
@@ -88,10 +89,10 @@ def test_header():
     assert P.title_of(TEXT, 7) == "The Sample           Protocol"
     assert P.title_of("nothing", 7) == "RFC 7"
     assert P.numbers_of("793, RFC 12, 4234 Author, x, -1, 0") == [793, 12, 4234]
-    assert P.category_of(TEXT) == "Standards Track" and P.category_of("") is None
+    assert P.category_of(P.header_fields(TEXT)) == "Standards Track" and P.category_of({}) is None
     assert P.without_front_matter(TEXT).startswith("Abstract")
     assert P.without_front_matter("plain") == "plain"
-    assert P.authors_of("Authors: A. B, C. D\n next") == ["A. B", "C. D"]
+    assert P.authors_of(P.header_fields("Authors: A. B, C. D\n next")) == ["A. B", "C. D"]
 
 
 def test_xml():
@@ -170,7 +171,7 @@ def test_batch_is_searched_as_alone(spark, data):
     def rows(frame):
         return {(r["id"], r["rank"], r["score"]) for r in frame.collect()}
 
-    batch = engine.search(engine.questions(*texts), 8).localCheckpoint()
+    batch = stage_table(engine.search(engine.questions(*texts), 8))
     for k, text in enumerate(texts):
         assert rows(batch.where(f"query_id = {k}")) == rows(engine.search(text, 8)) != set()
     held = engine.tables["normative_occurrences"].where("keyword = 'MAY'").select("section_id")
