@@ -108,12 +108,13 @@ class FlatHNSW:
             best = np.searchsorted(below, rows[best])
         return best
 
-    def search(self, queries: np.ndarray, k: int, ef: int, expand: int = 3, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of about the ``k`` nearest rows to each query; -1 pads."""
+    def search(self, queries: np.ndarray, k: int, ef: int, expand: int = 3, block: int = 2048, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of about the ``k`` nearest rows to each query; -1 pads. A query that is itself in the graph
+        may ``start`` at its own row in place of a descent."""
         ids = np.full((len(queries), k), -1, np.int64)
         sims = np.full((len(queries), k), -np.inf, np.float32)
         for a in range(0, len(queries), block):
-            keys = self._beam(queries[a : a + block], max(ef, k), expand)
+            keys = self._beam(queries[a : a + block], max(ef, k), expand, None if start is None else start[a : a + block])
             keys = -np.sort(-keys, axis=1)[:, :k]
             good = keys != NONE
             ids[a : a + block, : keys.shape[1]] = np.where(good, (keys >> 1) & 0x7FFFFFFF, -1)
@@ -132,11 +133,11 @@ class FlatHNSW:
         bits = (keys >> 32).astype(np.int32)
         return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits).astype(np.int32).view(np.float32)
 
-    def _beam(self, queries: np.ndarray, ef: int, expand: int) -> np.ndarray:
+    def _beam(self, queries: np.ndarray, ef: int, expand: int, start: np.ndarray | None = None) -> np.ndarray:
         count, links = len(queries), self.links[0]
         seen = np.zeros((count, len(self.vectors) + 1), bool)  # the last column stands for padding
         seen[:, -1] = True
-        start = self.entry(queries)
+        start = self.entry(queries) if start is None else start
         seen[np.arange(count), start] = True
         beam = np.full((count, ef), NONE)
         beam[:, 0] = self._key(np.einsum("qd,qd->q", queries, self.vectors[start]), start)

@@ -35,7 +35,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 most similar rows of every usable row; wide routing, for recall over distant neighbours too."""
-    return nearest(sections(spark, folder), margin=0.25, probes=24, ef=64)
+    return nearest(sections(spark, folder), margin=0.25, ef=64)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
