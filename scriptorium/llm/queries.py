@@ -34,8 +34,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The 5 most similar rows of every usable row; wide routing, for recall over distant neighbours too."""
-    return nearest(sections(spark, folder), margin=0.25, ef=64)
+    """The 5 most similar rows of every usable row; wide routing to few, larger shards, since neighbours may be distant."""
+    return nearest(sections(spark, folder), margin=0.3, ef=80, shard_rows=24_000)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
