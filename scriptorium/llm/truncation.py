@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.near_duplicates import may_hold
+from scriptorium.llm.flat import may_hold
 from scriptorium.llm.tokenizer import strings
 from scriptorium.session import stage_table
 
@@ -69,14 +69,15 @@ def breaks_off(blocks: list[list[str]]) -> str:
     return ""
 
 
-def tail_of(text: str) -> tuple:
+def tail_of(text: str) -> tuple[tuple, list[list[str]]]:
+    """What the end of a text tells, and the blocks of its cues."""
     bare = text.rstrip(" ")
     padded = len(text) - len(bare) > 1
     mark = MARK.search(bare)
     body = bare[: mark.start()] if mark else bare
     blocks = cue_texts(body)
     if not blocks:
-        return bool(mark), padded, "", None, None, 0.0, True, "blank", None, None
+        return (bool(mark), padded, "", None, None, 0.0, True, "blank", None, None), blocks
     structure = breaks_off(blocks)
     cues = [" ".join(spoken(b)) for b in blocks[:-1]]
     cues = [c for c in cues if c]
@@ -85,7 +86,7 @@ def tail_of(text: str) -> tuple:
     word = FINAL_WORD.search(end)
     ends = "word" if word else "comma" if end.endswith((",", "，", "、")) else "other"
     before = WORD.findall(end[: word.start()]) if word else []
-    return (
+    told = (
         bool(mark),
         padded,
         structure,
@@ -97,70 +98,83 @@ def tail_of(text: str) -> tuple:
         end.lower() if len(end) <= 40 else None,
         end.lower()[:41],
     )
+    return told, blocks
+
+
+class Words:
+    """Counts of a task's words by the cues that are known to be whole, passed on whenever they are many."""
+
+    def __init__(self) -> None:
+        self.every: Counter = Counter()
+        self.final: Counter = Counter()
+        self.penult: Counter = Counter()
+
+    def add(self, blocks: list[list[str]]) -> None:
+        for block in blocks:
+            found = WORD.findall(" ".join(spoken(block)))
+            self.every.update(found)
+            if found and not found[-1][1]:
+                self.final[found[-1][0]] += 1
+                if len(found) > 1:
+                    self.penult[found[-2][0]] += 1
+
+    def flush(self) -> list[tuple[str, int, int, int, int]]:
+        """(word, n, bare, final, penult) in lower case."""
+        out: dict[str, list[int]] = {}
+        for (word, mark), n in self.every.items():
+            row = out.setdefault(word.lower(), [0, 0, 0, 0])
+            row[0] += n
+            row[1] += 0 if mark else n
+        for place, counts in ((2, self.final), (3, self.penult)):
+            for word, n in counts.items():
+                out[word.lower()][place] += n
+        for counts in (self.every, self.final, self.penult):
+            counts.clear()
+        return [(word, *row) for word, row in out.items()]
+
+
+VOCABULARY = "kind string, word string, n long, bare long, final long, penult long"
+
+
+def scanned(df: DataFrame, key: str, text: str, source: str, declared: str) -> tuple[DataFrame, DataFrame]:
+    """(tails, words), from one scan of the texts.
+
+    Tails: what the end of each text tells. Words: (word, n, bare, final, penult): occurrences, those no mark follows, of
+    these the ones that end a cue, and those that stand just before a word which ends a cue without a mark. The last cue
+    of each text teaches nothing, since it may be cut.
+    """
+    fields = [c.split() for c in f"{TAIL}, {VOCABULARY.replace('word string', 'token string')}".split(", ")]
+    arrow = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = pa.schema([(name, arrow[kind]) for name, kind in fields])
+    split = len(TAIL.split(", "))
 
+    def counted(words: Words) -> pa.RecordBatch:
+        rows = words.flush()
+        columns = list(zip(*rows)) if rows else [()] * 5
+        nothing = [pa.nulls(len(rows), f.type) for f in list(schema)[:split]]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array(["word"] * len(rows), pa.string()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[split + 1 :]))], schema=schema)
 
-def tails(df: DataFrame, key: str, text: str, source: str, declared: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            texts = strings(batch.column(3))
-            rows = [tail_of(t) for t in texts]
+            texts, rows = strings(batch.column(3)), []
+            for value in texts:
+                told, blocks = tail_of(value)
+                rows.append(told)
+                words.add(blocks[:-1])
             columns = list(zip(*rows)) if rows else [()] * 10
-            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                [c.split()[0] for c in TAIL.split(", ")],
-            )
-
-    rows = df.select(F.col(key).cast("string").alias("doc"), F.lower(F.trim(source)).alias("source"), F.col(declared).cast("long").alias("declared"), F.col(text).alias("text"))
-    return rows.where("text is not null and doc is not null").mapInArrow(scan, TAIL).where("ends_in != 'blank'")
-
-
-def vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """(word, n, bare, final, penult): occurrences, those no mark follows, of these the ones that end a cue, and those
-    that stand just before a word which ends a cue without a mark.
+            lengths = [pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64())]
+            told = [*(batch.column(i) for i in range(3)), *lengths, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[5:split]))]
+            yield pa.RecordBatch.from_arrays([*told, pa.array(["tail"] * len(texts), pa.string()), *(pa.nulls(len(texts), f.type) for f in list(schema)[split + 1 :])], schema=schema)
+            if len(words.every) > 300_000:
+                yield counted(words)
+        yield counted(words)
 
-    The last cue of each text teaches nothing, since it may be cut.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter = Counter()
-        final: Counter = Counter()
-        penult: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            total: Counter = Counter()
-            bare: Counter = Counter()
-            for (word, mark), n in every.items():
-                total[word.lower()] += n
-                if not mark:
-                    bare[word.lower()] += n
-            words = list(total)
-            ends: Counter = Counter()
-            for word, n in final.items():
-                ends[word.lower()] += n
-            befores: Counter = Counter()
-            for word, n in penult.items():
-                befores[word.lower()] += n
-            every.clear()
-            final.clear()
-            penult.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (total, bare, ends, befores))], ["word", "n", "bare", "final", "penult"])
-
-        for batch in batches:
-            for value in strings(batch.column(0)):
-                for block in cue_texts(value)[:-1]:
-                    found = WORD.findall(" ".join(spoken(block)))
-                    every.update(found)
-                    if found and not found[-1][1]:
-                        final[found[-1][0]] += 1
-                        if len(found) > 1:
-                            penult[found[-2][0]] += 1
-            if len(every) > 300_000:
-                yield flush()
-        yield flush()
-
-    made = df.select(text).where(F.col(text).isNotNull()).mapInArrow(count, "word string, n long, bare long, final long, penult long")
-    return made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.sum("final").alias("final"), F.sum("penult").alias("penult"))
+    rows = df.select(F.col(key).cast("string").alias("doc"), F.lower(F.trim(source)).alias("source"), F.col(declared).cast("long").alias("declared"), F.col(text).alias("text")).where("text is not null and doc is not null")
+    both = stage_table(rows.mapInArrow(scan, ", ".join(" ".join(f) for f in fields)), ("kind",))
+    ends = both.where("kind = 'tail' and ends_in != 'blank'").select(*(c.split()[0] for c in TAIL.split(", ")))
+    words = both.where("kind = 'word'").groupBy(F.col("token").alias("word")).agg(*(F.sum(c).alias(c) for c in ("n", "bare", "final", "penult")))
+    return ends, words
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -197,8 +211,8 @@ def usual_limits(tails_: DataFrame, least: int = 4, times: float = 8.0, beside:
 
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", declared: str = "n_chars") -> DataFrame:
     """(key, source, reasons): every text found cut, with what tells so."""
-    ends = stage_table(tails(df, key, text, source, declared))
-    words = stage_table(vocabulary(df, text))
+    ends, words = scanned(df, key, text, source, declared)
+    words = stage_table(words)
     wanted = ends.where("word is not null").select(F.col("word").alias("node")).distinct()
     nodes = trie(words).join(wanted, "node", "left_semi").withColumnRenamed("node", "word")
     known = words.join(wanted.withColumnRenamed("node", "word"), "word", "left_semi")
