@@ -153,7 +153,8 @@ def word_edges(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; distinct words met so far are kept, up to a bound, then forgotten together."""
+    """Encodes batches of texts; distinct words met so far are kept, up to a bound, then forgotten together. Words are found
+    by hash and then compared character by character, so words of one hash don't get each other's ids."""
 
     def __init__(self, path: str, keep: int = 400_000) -> None:
         self.vocab, self.keep = vocabulary(path), keep
@@ -162,17 +163,31 @@ class Encoder:
     def forget(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.points, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        ids, sizes = self.vocab.encode_words(words)
-        base = len(self.ids)
+    def learn(self, words: list[np.ndarray], hashes: np.ndarray | None = None) -> np.ndarray:
+        """Slots of new words, given as code points; without hashes they can't be found again."""
+        ids, sizes = self.vocab.encode_words([w.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for w in words])
         slots = np.arange(len(self.sizes), len(self.sizes) + len(words))
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, slots])
-        order = np.argsort(known)
-        self.known, self.slot = known[order], slot[order]
+        lengths = np.array([len(w) for w in words], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.begins = np.concatenate([self.begins, len(self.points) + np.cumsum(lengths) - lengths])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.points, self.lengths = np.concatenate([self.points, *words]), np.concatenate([self.lengths, lengths])
+        if hashes is not None:
+            known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, slots])
+            order = np.argsort(known)
+            self.known, self.slot = known[order], slot[order]
+        return slots
+
+    def unlike(self, slot: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Words whose characters aren't those of their slot: two words of one hash."""
+        wrong = self.lengths[slot] != end - start
+        same = np.flatnonzero(~wrong)
+        size = self.lengths[slot[same]]
+        differs = self.points[ragged(self.begins[slot[same]], size)] != points[ragged(start[same], size)]
+        wrong[same[np.searchsorted(np.cumsum(size), np.flatnonzero(differs), "right")]] = True
+        return np.flatnonzero(wrong)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -185,7 +200,7 @@ class Encoder:
         points, offsets = code_points(texts)
         start = word_edges(points, offsets)
         end = np.r_[start[1:], len(points)].astype(np.int64)
-        code, distinct = pd.factorize(span_hash(points, start, end))
+        code, distinct = pd.factorize(self.hash(points, start, end))
         if len(self.known) > self.keep:
             self.forget()
         slot = self.find(distinct)
@@ -193,10 +208,14 @@ class Encoder:
         if len(new):
             first = np.zeros(len(distinct), np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            spans = first[new]
-            self.learn(distinct[new], [points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(start[spans], end[spans])])
-            slot = self.find(distinct)
-        return slot[code], np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
+            slot[new] = self.learn([points[start[k] : end[k]] for k in first[new]], distinct[new])
+        slot = slot[code]
+        odd = self.unlike(slot, points, start, end)
+        if len(odd):
+            slot[odd] = self.learn([points[start[k] : end[k]] for k in odd])
+        return slot, np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
+
+    hash = staticmethod(span_hash)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""

@@ -44,6 +44,14 @@ def test_random_texts(texts):
     assert ours(texts) == [found.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_one_hash_keep_their_ids(other):
+    encoder = K.Encoder(PATH)
+    encoder.hash = lambda points, start, end: K.span_hash(points, start, end) % np.uint64(5)
+    for texts in (ODD, ["many words that share few hashes, again and again"] * 2 + ODD):
+        ids, sizes = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [other(t) for t in texts]
+
+
 def test_forgets_and_stays_right(other):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(30)]
