@@ -157,8 +157,8 @@ def split_oversized(df: DataFrame, key: str = "id", text: str = "text", section:
 
 
 def oversized_units(df: DataFrame, key: str = "id", text: str = "text", limit: int = 2_000, overlap: int = 200) -> DataFrame:
-    """(key, para_no): 0 for each text that the splitter cuts, and the number of each paragraph that no paragraph or
-    blank-line boundary can bring under the limit; from the splitter's own index."""
+    """(key, para_no): 0 for each text that the splitter cuts, and the number of each paragraph that it would have to cut by
+    itself, so that no paragraph boundary alone brings the text under the limit."""
     check_sizes(limit, overlap)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def oversized_units(df: DataFrame, key: str = "id", text: str = "text", limit: i
                 for number, (a, b) in enumerate(zip(*index.paragraphs), 1):
                     if b - a > limit:
                         inside = ink[np.searchsorted(ink, a) : np.searchsorted(ink, b)]
-                        if inside[-1] + 1 - inside[0] > limit:
+                        if len(pieces_of(value[inside[0] : inside[-1] + 1], limit, overlap)) > 1:
                             rows.append(row)
                             numbers.append(number)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(numbers, pa.int32())], [key, "para_no"])
