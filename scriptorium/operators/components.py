@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.session import stage_table
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component): component is the least node of each connected component.
 
     Alternates the large-star and small-star steps, which need a number of rounds that grows with the logarithm
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
     loops = now.where("u = v").select("u").distinct()
     now = stage_table(now.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

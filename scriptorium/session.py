@@ -43,12 +43,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later reads neither recompute nor depend on one executor's disk."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
 

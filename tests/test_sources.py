@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -128,7 +129,9 @@ def test_index_search_and_incremental(spark, mirror, tmp_path):
     assert [r["keyword"] for r in engine.keyword_search("must not").collect()] == ["MUST NOT"]
     assert engine.metadata(7).first()["updates"] == [12, 34]
     before = {r["id"] for r in engine.tables["rfc_sections"].select("id").collect()}
+    parts = sorted(os.listdir(options.store_path))
     again = engine.index()
+    assert sorted(os.listdir(options.store_path)) == parts  # nothing changed: a manifest row and no table
     assert again["indexed"] == 0 and engine.tables["index_manifest"].count() == 2
     assert {r["id"] for r in engine.tables["rfc_sections"].select("id").collect()} == before
     assert engine.index(only=8, force=True)["indexed"] == 1
@@ -142,6 +145,15 @@ def test_index_search_and_incremental(spark, mirror, tmp_path):
     other = Store(spark, str(tmp_path / "other"))
     other.restore(str(tmp_path / "backup"), mirror_path="x")
     assert other.table("rfc_sections").count() == first["sections"]
+    few = Store(spark, options.store_path, most_parts=2)
+    rows = store.table("rfc_sections").where("rfc_number = 8")
+    for _ in range(3):
+        few.publish(few.write({"rfc_sections": rows}, {"rfc_number": rows.select("rfc_number")}), mirror_path="m")
+    assert max(len(parts) for parts in few.layout().values()) <= 2
+    assert few.table("rfc_sections").count() == first["sections"] and few.table("indexed_rfcs").count() == 2
+    assert engine.index()["indexed"] == 1 and few.table("indexed_rfcs").count() == 3
+    found = Engine(spark, options, provider=vectors()).search("client sends", 3).collect()
+    assert found and store.table("postings").where("lexeme = 'client'").count() == 1
 
 
 def test_engine_over_tables(spark, data):
@@ -231,3 +243,61 @@ def test_traces(spark, tmp_path):
     query = windowed_counts(stream_traces(spark, str(tmp_path / "traces")), "timestampUtc", "question").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("counts").first()["n"] == 1
+
+
+MODEL_REPLY = json.dumps({"answer": "It says so [9#9].", "citations": []})
+
+
+def model(system, prompt, tokens):
+    assert tokens == 7 or tokens == 1_024
+    return MODEL_REPLY
+
+
+def test_traces_and_retrieval_info(spark, data, tmp_path):
+    options = Options(store_path=data, trace_directory=str(tmp_path / "traces"), answer_tokens=7)
+    engine = Engine.over_folder(spark, data, options, E.vocabulary_provider(64))
+    told = engine.ask(engine.questions("what is forbidden in RFC 1234", "quorum threshold"), model, 5)
+    info = {r["query_id"]: r["retrieval"] for r in told["retrieval"].collect()}
+    assert info[0]["filters"]["normative_keyword"] == "MUST NOT" and info[0]["plan"]["rfc_numbers"] == [1234] and info[1]["strategy"] == "query-planner"
+    rows = read_traces(spark, options.trace_directory).orderBy("question").collect()
+    assert [r["question"] for r in rows] == ["quorum threshold", "what is forbidden in RFC 1234"]
+    assert [s["name"] for s in rows[0]["stages"]] == ["search", "assemble", "generate"] and rows[0]["answerGenerated"] and rows[0]["candidateRfcNumbers"]
+    told = engine.ask("quorum", model, 5, include_errata=False)
+    assert told["errata"].count() == 0 and told["budget"].columns == ["query_id", "warning"]
+
+
+def test_lexical_search_alone_is_asked_for(spark, data):
+    engine = Engine.over_folder(spark, data)
+    with pytest.raises(ValueError):
+        engine.search("quorum")
+    lexical = Engine.over_folder(spark, data, Options(store_path=data, embedding_model="none"))
+    assert lexical.search("quorum threshold", 3).count() > 0
+    with pytest.raises(ValueError):
+        lexical.reset_embeddings()
+
+
+def test_embeddings_are_counted(spark, mirror, tmp_path):
+    engine = Engine(spark, Options(store_path=str(tmp_path / "store"), mirror_path=mirror, embedding_dimensions=4), provider=vectors())
+    assert engine.index()["embedding_batches"] >= 2
+    assert engine.reset_embeddings(confirm=True)["indexed"] == 2
+
+
+def test_command_line(spark, data, mirror, tmp_path, capsys):
+    from scriptorium.__main__ import main
+
+    asked = tmp_path / "q.json"
+    asked.write_text('[{"id": "a", "question": "quorum threshold", "expectedRfcs": [1], "mustCite": [1], "answerType": "factual"}]')
+    base = ["--store", data, "--tables", "--provider", "vocabulary", "--model", "test_sources:model", "--limit", "3"]
+    assert main([*base, "ask", "quorum threshold"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["answers"][0]["no_answer"] and told["retrieval"][0]["retrieval"]["strategy"] == "query-planner"
+    assert main([*base, "--answers", "eval", str(asked)]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["summary"][0]["questions"] == 1 and told["answer_summary"][0]["answers"] == 1 and "latency_ms" in told["summary"][0]
+    assert main([*base, "search", "quorum threshold"]) == 0 and len(capsys.readouterr().out.splitlines()) == 3
+    store = ["--store", str(tmp_path / "store"), "--mirror", mirror, "--provider", "vocabulary", "--dimensions", "8"]
+    assert main([*store, "index"]) == 0 and json.loads(capsys.readouterr().out)["documents"] == 2
+    assert main([*store, "--reset-embeddings", "index"]) == 1 and "confirm" in capsys.readouterr().err
+    assert main([*store, "--reset-embeddings", "--confirm", "index"]) == 0
+    capsys.readouterr()
+    assert main([*store, "search", "bad state"]) == 0 and main(["--store", data, "--tables", "ask", "x"]) == 1
