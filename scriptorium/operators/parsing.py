@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import keywords, plain_lines
 from scriptorium.schema import GRAMMAR_STYLES
 
-# Patterns of headings, grammar rules and page lines. Digits and word characters are spelt out so that
-# Java, Python and the twins' engine, whose \\d and \\w differ beyond ASCII, match alike.
-HEADING = r"^([0-9]+(?:\.[0-9]+)*|Appendix\s+[A-Z](?:\.[0-9]+)*)\.\s+(.+?)$"
+# Patterns of headings, grammar rules and page lines. White space in a page line is kept from crossing a
+# line end, so that the line after it stays.
+HEADING = r"^(\d+(?:\.\d+)*|Appendix\s+[A-Z](?:\.\d+)*)\.\s+(.+?)$"
 RULE = r"^\s*([a-zA-Z][a-zA-Z0-9-]*)\s*=\s*/?\s*"
-PAGE_HEADER = r"(?m)^[^\S\r\n]*RFC[^\S\r\n]+[0-9]+[^\S\r\n]+.*$"
-PAGE_FOOTER = r"(?m)^[^\S\r\n]*\[Page\s+[0-9]+\]$"
+PAGE_HEADER = r"(?m)^[^\S\r\n]*RFC[^\S\r\n]+\d+[^\S\r\n]+.*$"
+PAGE_FOOTER = r"(?m)^[^\S\r\n]*\[Page\s+\d+\]$"
 # Line patterns of the grammar styles.
 STYLE_PATTERNS = {
-    "cddl": r"^\s*[A-Za-z0-9_][A-Za-z0-9_-]*\s*=\s*[\{\(]|^\s*[A-Za-z0-9_][A-Za-z0-9_-]*\s*=\s*[A-Za-z0-9_][A-Za-z0-9_-]*\s*(?:/|\()",
-    "asn.1": r"^[A-Za-z0-9_][A-Za-z0-9_-]*\s+::=|\s*DEFINITIONS\s+::",
+    "cddl": r"^\s*\w[\w-]*\s*=\s*[\{\(]|^\s*\w[\w-]*\s*=\s*\w[\w-]*\s*(?:/|\()",
+    "asn.1": r"^\w[\w-]*\s+::=|\s*DEFINITIONS\s+::",
     "tls-presentation-lang": r"^\s*struct\s*\{|^\s*enum\s*\{|^\s*select\s*\(",
     "abnf": RULE,
 }
@@ -150,7 +150,7 @@ def without_pages(text: Column | str) -> Column:
 
 def without_contents(text: Column | str) -> Column:
     """P10: the first table of contents, up to the next numbered line."""
-    return F.regexp_replace(text, r"(?sm)\A(.*?)^[^\S\n]*Table of Contents\s*$.*?(?=^[0-9]+\.\s)", "$1")
+    return F.regexp_replace(text, r"(?sm)\A(.*?)^[^\S\n]*Table of Contents\s*$.*?(?=^\d+\.\s)", "$1")
 
 
 def lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

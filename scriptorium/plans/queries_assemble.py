@@ -75,6 +75,11 @@ def e09(spark: SparkSession, folder: str) -> DataFrame:
     return E.pack_totals(pack(spark, folder))
 
 
+@register("e10_budget_warnings", f"with {PACK_SQL} select query_id, 'evidence cut at 16000 characters; ' || count(*) || ' sections kept' as warning from pack where exceeded group by query_id")
+def e10(spark: SparkSession, folder: str) -> DataFrame:
+    return E.budget_warnings(pack(spark, folder))
+
+
 @register(
     "e07_parent_headings",
     f"""with {FIRST}, secs as (select distinct rfc_number, section from rfc_sections where section is not null and rfc_number is not null),

@@ -9,7 +9,8 @@ from scriptorium.operators import embedding as E
 from scriptorium.operators import parsing as P
 from scriptorium.plans import inputs as I
 from scriptorium.plans.register import Register
-from scriptorium.plans.sql import KEYWORD
+from scriptorium.plans.sql import CUR, KEYWORD
+from scriptorium.sources.files import with_xml
 
 register = Register()
 QUERIES, SQL = register.queries, register.sql
@@ -104,6 +105,34 @@ def u07(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select("id", F.array_join(F.transform(at, lambda x: x.cast("string")), ",").alias("dimensions"), F.round(F.array_max("v"), 6).alias("weight"))
 
 
+HELD_SQL = SQL["u07_vocabulary_vectors"]
+
+
+@register("u01_embed", HELD_SQL)
+def u01(spark: SparkSession, folder: str) -> DataFrame:
+    """The same vectors through batches of a provider."""
+    vectors = E.embed(I.sections(spark, folder), E.vocabulary_provider(), E.WIDTH)
+    spots = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull())
+    return vectors.select("id", F.array_join(F.transform(spots, lambda x: x.cast("string")), ",").alias("dimensions"), F.round(F.array_max("embedding").cast("double"), 6).alias("weight"))
+
+
+XML_FILE = """concat('<rfc xmlns="u" category="c', rfc_number % 5, '"><front><title>T  ', rfc_number, '</title><author fullname="A. B', rfc_number, '"/><author surname="C"/><date year="', rfc_number, '"/></front><middle><section><name>One</name><t>first ',
+    rfc_number, '</t><section title="Sub"><t>a</t><t> b\n c</t></section></section><section><name>Gap</name></section><section><name>Three</name><t>last</t></section></middle><back><section><t>no</t></section></back></rfc>')"""
+
+
+@register(
+    "s06_p16_p17_xml",
+    f"""with {CUR} select rfc_number, 'T ' || rfc_number as title, rfc_number::varchar as rfc_date, 'c' || rfc_number % 5 as category, 'A. B' || rfc_number || '|C' as authors, section, heading, text from cur,
+    (select unnest(['1', '1.1', '3']) as section, unnest(['One', 'Sub', 'Three']) as heading, unnest(['first ', 'a' || chr(10) || chr(10) || 'b c', 'last']) as part), lateral (select case when section = '1' then part || rfc_number else part end as text)
+    where rfc_number % 7 > 0""",
+)
+def s06(spark: SparkSession, folder: str) -> DataFrame:
+    """An XML file made for every current document; one in seven is malformed and gives nothing."""
+    files = I.documents(spark, folder).select("rfc_number", F.when(F.col("rfc_number") % 7 == 0, "<rfc>").otherwise(F.expr(XML_FILE)).alias("text"))
+    rows = with_xml(files).select("rfc_number", "title", "rfc_date", "category", F.array_join("authors", "|").alias("authors"), F.explode("sections").alias("s"))
+    return rows.select("rfc_number", "title", "rfc_date", "category", "authors", "s.section", "s.heading", "s.text")
+
+
 # A whole document made around every section: its header, front matter and contents are known, so the twin states what
 # must come out instead of scanning for it.
 FILE = """concat('Working Group                     A. Writer', char(13), char(10), 'Updates: ', rfc_number - 1, ', RFC ', rfc_number - 2, ', 0, x', char(10), 'Obsoletes: ', rfc_number - 3, ' Someone', char(10),

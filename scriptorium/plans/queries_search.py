@@ -12,7 +12,7 @@ from scriptorium.operators import rerank as R
 from scriptorium.operators import retrieval as Q
 from scriptorium.operators.relations import relations
 from scriptorium.plans import inputs as I
-from scriptorium.plans.ask import retrieval_info
+from scriptorium.plans.ask import retrieval_info, search
 from scriptorium.plans.register import Register
 from scriptorium.plans.sql import FUSED, LEXICAL, NEAR, POSTINGS, QUESTIONS, RELATIONS, STATUS, lexemes, matches, postings
 from scriptorium.schema import KEYWORDS, PROTOCOL_SEEDS
@@ -77,10 +77,10 @@ def q05(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SEEDS = "case p " + " ".join(f"when '{name}' then {list(numbers)}" for name, numbers in PROTOCOL_SEEDS.items()) + " end"
-REFERENCE = r"(?is)\bRFC\s*([0-9]{3,5})\b.{0,80}?(?:\bsection\s+|§\s*)([0-9]+(?:\.[0-9]+)*[A-Za-z]?)\b"
+REFERENCE = N.REFERENCE
 def plan_sql(source: str) -> str:
     """A CTE of the plans of a source's questions."""
-    return f"""planned as (select *, list_transform(list_distinct(regexp_extract_all(query, '(?i)\\bRFC\\s*([0-9]{{3,5}})\\b', 1)), lambda x: x::int) rfc_numbers,
+    return f"""planned as (select *, list_transform(list_distinct(regexp_extract_all(query, '{N.MENTION}', 1)), lambda x: x::int) rfc_numbers,
     list_transform(regexp_extract_all(query, '{REFERENCE}', 1), lambda x, i: x || '#' || regexp_extract_all(query, '{REFERENCE}', 2)[i]) refs,
     flatten(list_transform(list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b({"|".join(PROTOCOL_SEEDS)})\\b', 1), lambda x: lower(x))), lambda p: {SEEDS})) protocol_numbers,
     regexp_matches(query, '(?i)\\b(old|obsolete|changed\\s+from)\\b') include_obsolete, list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b({"|".join(PROTOCOL_SEEDS)})\\b', 1), lambda x: lower(x))) protocols,
@@ -113,6 +113,35 @@ def q09(spark: SparkSession, folder: str) -> DataFrame:
     return R.rerank(fused, N.plan(naming), I.sections(spark, folder), related).select("query_id", "id", "rfc_number", "section", "score", "category", "rank")
 
 
+@register("q06_clamped", f"with {QUESTIONS}, {LEXICAL} select query_id, id from (select *, {RANKED.format('score')} as rank from lex) where rank <= 1")
+def q06(spark: SparkSession, folder: str) -> DataFrame:
+    """A limit below 1 counts as 1."""
+    return Q.lexical_search(I.questions(spark, folder), I.postings(spark, folder), -3).select("query_id", "id")
+
+
+@register(
+    "q08_vector_only",
+    f"""with {QUESTIONS}, {NEAR}, {RELATIONS}, best as (select *, {RANKED.format('similarity')} as place from sims),
+    once as (select *, row_number() over (partition by query_id, rfc_number, section order by place, id) as turn from best where place <= 10),
+    ranked as (select *, row_number() over (partition by query_id order by place, id) as rank from once where turn = 1)
+    select query_id, id, round(1 / (2 - similarity), 6) as score, rank, {STATUS} as category from ranked left join rel using (rfc_number)""",
+)
+def q08(spark: SparkSession, folder: str) -> DataFrame:
+    """Q08, Q12, Q14: the whole search in its vector form; a section read several times comes once."""
+    tables = {"rfc_sections": I.sections(spark, folder), "normative_occurrences": I.hits(spark, folder), "indexed_rfcs": I.documents(spark, folder)}
+    return search(stage_table(I.questions(spark, folder)), tables, vector_only=True).select("query_id", "id", "score", "rank", "category")
+
+
+@register(
+    "q17_set_filter",
+    """with best as (select keyword, section_id id, min(line_offset) line_offset from normative_occurrences where keyword = 'MUST' and rfc_number in (4040, 1000, 1001, 1002, 1003) group by keyword, section_id)
+    select id, rfc_number, section, rank from (select b.*, s.rfc_number, s.section, row_number() over (order by line_offset, s.rfc_number, s.section, b.id) as rank from best b join rfc_sections s using (id)) where rank <= 20""",
+)
+def q17(spark: SparkSession, folder: str) -> DataFrame:
+    words = spark.createDataFrame([("MUST",)], "keyword string")
+    return Q.keyword_search(Q.in_documents(I.hits(spark, folder), [4040, 1000, 1001, 1002, 1003]), I.sections(spark, folder), words).select("id", "rfc_number", "section", "rank")
+
+
 @register("q11_query_terms", f"with {QUESTIONS}, {PLAN_SQL} select query_id, array_to_string(list_sort(terms), ' ') as terms from planned")
 def q11(spark: SparkSession, folder: str) -> DataFrame:
     return I.questions(spark, folder).select("query_id", F.array_join(F.array_sort(query_terms("query")), " ").alias("terms"))

@@ -16,7 +16,7 @@ from scriptorium.plans import inputs as I
 from scriptorium.plans.register import Register
 from scriptorium.plans.sql import CUR, status
 from scriptorium.session import stage_folder
-from scriptorium.sources.json_files import read_errata
+from scriptorium.sources.json_files import read_errata, read_questions
 from scriptorium.sources.store import Store
 
 register = Register()
@@ -110,6 +110,21 @@ def s07(spark: SparkSession, folder: str) -> DataFrame:
         os.unlink(file.name)
 
 
+@register("s10_question_sets", f"with {CUR} select rfc_number::varchar as query_id, title as query, array_to_string(list_transform(list_filter(coalesce(obsoletes, []), lambda x: x is not null), lambda x: x::varchar), ',') as documents, case when rfc_number % 2 = 0 then 'testdata' else 'full' end as corpus from cur where title is not null and rfc_number % 2 = 0")
+def s10(spark: SparkSession, folder: str) -> DataFrame:
+    """A question for every current document written to a JSON file under mixed names, and one of its two corpora read again."""
+    rows = I.documents(spark, folder).where("title is not null").select(
+        F.col("rfc_number").cast("string").alias("ID"), F.col("title").alias("Question"), F.array_compact(F.coalesce("obsoletes", F.expr("cast(array() as array<int>)"))).alias("expectedRfcs"), F.when(F.col("rfc_number") % 2 == 0, "testdata").otherwise("full").alias("Corpus")
+    )
+    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False, encoding="utf-8") as file:
+        json.dump([json.loads(r) for r in rows.toJSON().toLocalIterator()], file)
+    try:
+        found = read_questions(spark, file.name, "testdata")
+    finally:
+        os.unlink(file.name)
+    return found.select("query_id", "query", F.array_join(F.transform("documents", lambda x: x.cast("string")), ",").alias("documents"), "corpus")
+
+
 @register("s23_latest_manifest", "select mirror_path, id, created_at, rfc_count from (select *, row_number() over (partition by mirror_path order by created_at desc nulls last, id) rn from index_manifest) where rn = 1")
 def s23(spark: SparkSession, folder: str) -> DataFrame:
     return T.latest_manifests(I.manifest(spark, folder)).select("mirror_path", "id", "created_at", "rfc_count")
