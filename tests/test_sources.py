@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from datetime import datetime, timezone
 
 import pytest
+from pyspark import cloudpickle
 
 from scriptorium.api import Engine, guarded
 from scriptorium.config import Options
@@ -245,6 +247,7 @@ def test_traces(spark, tmp_path):
     assert spark.table("counts").first()["n"] == 1
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import the tests
 MODEL_REPLY = json.dumps({"answer": "It says so [9#9].", "citations": []})
 
 
