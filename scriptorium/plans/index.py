@@ -79,7 +79,7 @@ def index_run(spark: SparkSession, options: Options, provider: E.Provider | None
         hits = P.keyword_hits(sections).withColumn("id", F.sha2(F.concat_ws("#", "section_id", "line_offset", "keyword"), 256))
         counts = sections.groupBy("rfc_number").agg(F.count("*").alias("section_count"))
         documents = documents.join(counts, "rfc_number", "left").join(P.grammar_styles(sections).select("rfc_number", "grammar_style"), "rfc_number", "left").withColumn("section_count", F.coalesce("section_count", F.lit(0))).withColumn("grammar_style", F.coalesce("grammar_style", F.lit("none"))).withColumn("indexed_at_utc", F.current_timestamp())
-        new |= {"rfc_sections": sections, "normative_occurrences": hits, "rfc_abnf_blocks": blocks, "indexed_rfcs": documents, "postings": postings(sections)}
+        new |= {"rfc_sections": sections, "normative_occurrences": hits, "rfc_abnf_blocks": blocks, "indexed_rfcs": documents, "postings": stage_table(postings(sections))}
     if options.errata_path:
         known = store.table("rfc_errata")
         read = T.current_errata(read_errata(spark, options.errata_path))
