@@ -72,11 +72,16 @@ def vectors_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 
 def fit_cells(reps: DataFrame, total: int, width: int, shard_rows: int, sample_rows: int, rounds: int = 8) -> np.ndarray:
-    """Centroids of the cells; at most ``sample_rows`` vectors are on the driver at a time."""
+    """Centroids of the cells; at most ``sample_rows`` vectors are on the driver at a time.
+
+    Of a large table about 250 rows of each cell tell whether it is dense: rows times cells would otherwise be computed in
+    every round. The sizes that shards are made by are counted over all rows."""
+    share = max(1, min(shard_rows // 250, total // 200_000))
+    some = reps if share == 1 else reps.where(F.pmod("h2", F.lit(share)) == 0)
     sample = reps.orderBy("h1", "h2").limit(sample_rows).select("vector").toArrow()
     centroids = fit_centroids(vectors_of(sample.column(0), width), -(-total // shard_rows))
     for _ in range(rounds):
-        sizes = visits(reps, centroids, width, None)[0]
+        sizes = visits(some, centroids, width, None)[0] * share
         dense = np.flatnonzero(sizes > 2 * shard_rows)
         per = sample_rows // max(len(dense), 1)
         if not len(dense) or per < 16:
@@ -107,17 +112,22 @@ def nearest_cells(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(vectors[a : a + step] @ centroids.T, 1) for a in range(0, len(vectors), step)]) if len(vectors) else np.zeros(0, np.int64)
 
 
-def near_cells(vectors: np.ndarray, centroids: np.ndarray, margin: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, best cell, row, cell) for blocks of rows: the cells whose centroid is nearly as close as the best one."""
+def near_cells(vectors: np.ndarray, centroids: np.ndarray, margin: float, band: float | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, best cell, row, cell) for blocks of rows: the cells whose centroid is nearly as close as the best one, or
+    with a ``band`` those from whose border (the plane midway between the centroids) the row is at most that far."""
     step = max(1, 16_000_000 // len(centroids))
     for a in range(0, len(vectors), step):
         score = vectors[a : a + step] @ centroids.T
         best = score.argmax(1)
-        row, cell = np.nonzero(score >= score[np.arange(len(score)), best][:, None] - np.float32(margin))
+        below = np.float32(margin)
+        if band is not None:
+            own, at = np.unique(best, return_inverse=True)
+            below = (np.float32(band) * np.sqrt(np.maximum(2 - 2 * (centroids[own] @ centroids.T), 0)))[at]
+        row, cell = np.nonzero(score >= score[np.arange(len(score)), best][:, None] - below)
         yield a, best, row, cell
 
 
-def visits(reps: DataFrame, centroids: np.ndarray, width: int, margin: float | None) -> tuple[np.ndarray, np.ndarray]:
+def visits(reps: DataFrame, centroids: np.ndarray, width: int, margin: float | None, band: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of each cell, and rows of other cells that search it; two numbers a cell come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +137,7 @@ def visits(reps: DataFrame, centroids: np.ndarray, width: int, margin: float | N
             if margin is None:
                 own += np.bincount(nearest_cells(vectors, centroids), minlength=len(centroids))
                 continue
-            for _, best, _, cell in near_cells(vectors, centroids, margin):
+            for _, best, _, cell in near_cells(vectors, centroids, margin, band):
                 own += np.bincount(best, minlength=len(centroids))
                 all_ += np.bincount(cell, minlength=len(centroids))
         used = np.flatnonzero(own + all_)
@@ -151,14 +161,16 @@ def nearest(
     width: int = 64,
     min_cosine: float | None = None,
     margin: float = 0.2,
+    band: float | None = None,
     ef: int = 48,
     shard_rows: int = 6_000,
     sample_rows: int = 20_000,
 ) -> DataFrame:
     """(key, neighbour, cosine, rank) rows, at most ``k`` of each key.
 
-    ``margin``: a shard is searched if its centroid's cosine is at most this below the best one's; ``ef``: width of a
-    search in a graph. Both trade recall for work; the README has measured recall.
+    ``margin``: a shard is searched if its centroid's cosine is at most this below the best one's; ``band``, in its place:
+    if its border is at most this far, which finds as much with many small cells as with few; ``ef``: width of a search in
+    a graph. They trade recall for work; the README has measured recall.
     """
     spark = df.sparkSession
 
@@ -179,7 +191,7 @@ def nearest(
     reps = stage_table(coded.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("vector").alias("vector"), (F.max("key") > F.min("key")).alias("copied")))
     total = reps.count()
     centroids = fit_cells(reps, total, width, shard_rows, sample_rows) if total else np.zeros((1, width), np.float32)
-    sizes, guests_of = visits(reps, centroids, width, margin)
+    sizes, guests_of = visits(reps, centroids, width, margin, band)
     pieces = np.where(sizes > 2 * shard_rows, -(-sizes // shard_rows), 1)  # shards of a cell that centroids don't divide
     salts = np.maximum(-(-(guests_of + np.where(pieces > 1, sizes, 0)) // (4 * shard_rows)), 1)  # tasks of a shard
     base = np.cumsum(pieces * salts) - pieces * salts
@@ -190,7 +202,7 @@ def nearest(
             if not batch.num_rows:
                 continue
             mark = batch.column(2).to_numpy().view(np.uint64)
-            for first, best, row, cell in near_cells(vectors_of(batch.column(1), width), centroids, margin):
+            for first, best, row, cell in near_cells(vectors_of(batch.column(1), width), centroids, margin, band):
                 spot = mix(mark[first : first + len(best)])
                 keep = sizes[cell] > 0
                 row, cell = row[keep], cell[keep]
@@ -246,11 +258,24 @@ def nearest(
     tasks = max(min(units, 20_000), 1)
     routed = reps.select("key", "vector", "h1").mapInArrow(route, "unit int, key string, vector binary, role byte")
     found = routed.repartitionById(tasks, F.col("unit") % tasks).sortWithinPartitions("unit").mapInArrow(search, "key string, neighbour string, cosine double")
-    found = found.withColumnRenamed("key", "rep").unionByName(reps.where("copied").select(F.col("key").alias("rep"), F.col("key").alias("neighbour"), F.lit(1.0).alias("cosine")))
-    # copies: of each group its first k + 1 keys can be anyone's neighbour; every member gets the group's result
+    found = found.withColumnRenamed("key", "rep")
+    if min_cosine is not None:  # a pair that one of its rows found counts for both
+        found = stage_table(found)
+        found = found.unionByName(found.select(F.col("neighbour").alias("rep"), F.col("rep").alias("neighbour"), "cosine"))
+    found = found.unionByName(reps.where("copied").select(F.col("key").alias("rep"), F.col("key").alias("neighbour"), F.lit(1.0).alias("cosine")))
+    # a group of copies counts by its smallest key, so its best k + 1 groups hold the best k + 1 rows; only of these are copies put in
+    best = nearest_of(found, "rep", k + 1)
     groups = coded.join(reps.where("copied").select("h1", "h2", F.col("key").alias("rep")), ["h1", "h2"]).select("rep", F.col("key").alias("member")).distinct()
     first = groups.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("at") <= k + 1).select(F.col("rep").alias("neighbour"), F.col("member").alias("other"))
-    found = found.join(first, "neighbour", "left").select("rep", F.coalesce("other", "neighbour").alias("neighbour"), "cosine")
-    found = found.join(groups, "rep", "left").select(F.coalesce("member", "rep").alias("key"), "neighbour", "cosine").where("key != neighbour")
-    best = found.groupBy("key").agg(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "neighbour")).alias("all"))
-    return best.select(F.col("key").alias(key), F.posexplode(F.slice(F.array_sort("all"), 1, k))).select(key, F.col("col.neighbour").alias("neighbour"), (-F.col("col.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
+    best = nearest_of(best.join(first, "neighbour", "left").select("rep", F.coalesce("other", "neighbour").alias("neighbour"), "cosine"), "rep", k + 1, listed=True)
+    # every member of a group gets the group's list without itself; a key that is repeated with several vectors, the best of their lists
+    each = best.join(groups, "rep", "left").select(F.coalesce("member", "rep").alias("key"), "all")
+    each = each.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("all")))).alias("all"))
+    rows = each.select(F.col("key").alias(key), F.posexplode(F.slice(F.filter("all", lambda x: x["neighbour"] != F.col("key")), 1, k)))
+    return rows.select(key, F.col("col.neighbour").alias("neighbour"), (-F.col("col.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
+
+
+def nearest_of(found: DataFrame, by: str, count: int, listed: bool = False) -> DataFrame:
+    """The ``count`` nearest distinct neighbours of each ``by``, as rows or ``listed`` in an array ``all``; ties go to the smaller key."""
+    lists = found.groupBy(by).agg(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "neighbour")).alias("all")).select(by, F.slice(F.array_sort("all"), 1, count).alias("all"))
+    return lists if listed else lists.select(by, F.explode("all").alias("one")).select(by, F.col("one.neighbour").alias("neighbour"), (-F.col("one.far")).alias("cosine"))

@@ -40,7 +40,7 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Only neighbours of cosine 0.90 and more are wanted, so the operator routes narrowly."""
-    near = nearest(sections(spark, folder), min_cosine=0.9, margin=0.12)
+    near = nearest(sections(spark, folder), min_cosine=0.9, band=0.08)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from scriptorium.llm.hnsw import FlatHNSW, nearest_inside
-from scriptorium.llm.neighbours import fit_centroids, nearest
+from scriptorium.llm.neighbours import fit_centroids, near_cells, nearest
 
 
 def unit(x):
@@ -97,3 +97,38 @@ def test_empty_and_single(spark):
 
 def test_centroids_of_few_rows():
     assert fit_centroids(unit(np.eye(3, 64) + 0.01), 10).shape == (3, 64)
+
+
+def test_band_keeps_to_cells_whose_border_is_near():
+    """Cells that lie close to one another have close scores everywhere; a row is sent to those whose border it is near."""
+    rng = np.random.default_rng(3)
+    centroids = unit(np.eye(1, 64) + 0.03 * rng.normal(size=(200, 64)))
+    rows = unit(centroids[rng.integers(0, 200, 2000)] + 0.005 * rng.normal(size=(2000, 64)))
+    visited = lambda **how: sum(len(cell) for *_, cell in near_cells(rows, centroids, 0.12, **how))
+    assert visited() == 200 * 2000
+    assert 2000 <= visited(band=0.08) < 2 * 2000
+    score = rows @ centroids.T
+    best = score.argmax(1)
+    far = (score[np.arange(2000), best][:, None] - score) / np.maximum(np.linalg.norm(centroids[best][:, None] - centroids[None], axis=2), 1e-9)
+    assert visited(band=0.08) == (far <= 0.08).sum()
+
+
+def test_band_finds_the_pairs(spark, cloud):
+    rng = np.random.default_rng(9)
+    near = unit(cloud[:400] + 0.03 * rng.normal(size=(400, 64)))
+    got = nearest(frame(spark, np.vstack([cloud, near])), min_cosine=0.9, shard_rows=100, sample_rows=1500, band=0.08).collect()
+    found = {(r["id"], r["neighbour"]) for r in got}
+    pairs = [(i, len(cloud) + i) for i in range(400) if cloud[i] @ near[i] >= 0.9]
+    assert len(pairs) > 350 and np.mean([(f"k{a:05}", f"k{b:05}") in found and (f"k{b:05}", f"k{a:05}") in found for a, b in pairs]) >= 0.99
+
+
+def test_copies_of_copies(spark):
+    """Thirty copies of each of ten near vectors: ties by key, through several groups."""
+    rng = np.random.default_rng(6)
+    base = unit(np.ones((1, 64)) + 0.1 * rng.normal(size=(10, 64)))
+    vectors = np.vstack([base[:4]] + [np.repeat(base[4:], 3, 0)] + [np.repeat(base[9:], 30, 0)])
+    got = nearest(frame(spark, vectors)).collect()
+    exact = np.round(vectors.astype(float) @ vectors.astype(float).T, 6)
+    np.fill_diagonal(exact, -2)
+    want = {(f"k{i:05}", f"k{j:05}", at + 1) for i in range(len(vectors)) for at, j in enumerate(np.argsort(-exact[i], kind="stable")[:5])}
+    assert {(r["id"], r["neighbour"], r["rank"]) for r in got} == want
