@@ -13,6 +13,8 @@ Defined results: items of null, zero or negative size take part in none; equal s
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +47,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def pairs_of(sizes: list[int]) -> dict[int, tuple[int, int]]:
+    """Every sum of two of the items with two sizes that make it. Different sizes count once, and a container of capacity c
+    holds fewer than (2 c) ** 0.5 of them, so its pairs are at most about c, however many items it has."""
+    counts = Counter(sizes)
+    kinds = sorted(counts)
+    found = {x + y: (x, y) for i, x in enumerate(kinds) for y in kinds[i + 1 :]}
+    return found | {2 * x: (x, x) for x in kinds if counts[x] > 1}
+
+
 class Rooms:
     """Underfull containers by their room: for each room the sizes that its containers hold, and the sums of two of them,
     as bit sets with the containers of every bit."""
@@ -63,8 +74,7 @@ class Rooms:
         (here.add if add else here.discard)(number)
         if not here:
             del self.bins[room]
-        pairs = {x + y for i, x in enumerate(sizes) for y in sizes[i + 1 :]} if len(sizes) <= 32 else set()
-        for mask, holders, values in zip(self.masks, self.holders, (set(sizes), pairs)):
+        for mask, holders, values in zip(self.masks, self.holders, (set(sizes), pairs_of(sizes))):
             bits = mask.get(room, 0)
             for value in values:
                 held = holders.setdefault((room, value), set())
@@ -78,7 +88,7 @@ class Rooms:
         found = (least, -1, (), 0, 0)
         rooms = sorted((r for r in self.bins if r <= most), reverse=True)
         ones = sorted(set(mine), reverse=True)
-        twos = {x + y: (x, y) for i, x in enumerate(mine) for y in mine[i + 1 :]} if len(mine) <= 32 else {}
+        twos = pairs_of(mine)
         for room in rooms:
             if room <= found[0]:
                 break  # no change gains more than the room
@@ -102,11 +112,11 @@ class Rooms:
         return found
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = 50) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Raise the sum of squared fills by moves and exchanges between underfull containers, until none helps.
 
     The partner of an emptying container comes from an index by room, so a step costs as much as there are different
-    rooms, not containers.
+    rooms, not containers. Every change raises the sum of squared fills, so it ends; there is no cap on its rounds.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     best = -(-sum(fill) // capacity)
@@ -117,7 +127,8 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds:
     held = lambda b: [sizes[i] for i in bins[b]]
     for b in range(len(bins)):
         index.change(b, held(b), capacity - fill[b], True)
-    for _ in range(rounds):
+    improved = True
+    while improved and count > best:
         improved = False
         for weak in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
             while bins[weak] and count > best:
@@ -133,8 +144,6 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds:
                 for b in (weak, other):
                     index.change(b, held(b), capacity - fill[b], True)
                 count -= not bins[weak]
-        if not improved or count <= best:
-            break
     return [b for b in bins if b]
 
 

@@ -58,6 +58,19 @@ def test_each_change_raises_the_squared_fill():
             assert sum(sizes[i] for i in bins[other]) == fill[other] + gain <= 100
 
 
+def test_pairs_of_containers_of_many_items():
+    """Only an exchange of two for one, or one for two, helps, and a container holds more than 32 items."""
+    for mine, other, want in (([3] * 40, [5] * 39 + [4], (1, 1, (3, 3), 1, 5)), ([7] * 20, [3] * 65 + [4], (1, 1, (7,), 2, 6))):
+        index = P.Rooms(200)
+        index.change(0, mine, 200 - sum(mine), True)
+        index.change(1, other, 200 - sum(other), True)
+        assert index.best(mine, 200 - sum(mine), 0, 0) == want
+    rng = random.Random(5)
+    sizes = [rng.randint(1, 9) for _ in range(90)]
+    assert set(P.pairs_of(sizes)) == {x + y for i, x in enumerate(sizes) for y in sizes[i + 1 :]}
+    assert set(P.pairs_of([4, 5])) == {9} and P.pairs_of([4]) == {}
+
+
 def test_many_sizes_in_little_time():
     import time
 
